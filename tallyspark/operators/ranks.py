@@ -103,12 +103,17 @@ def row_index(df: DataFrame, order: list[str], partitions: int | None = None) ->
     """Adds ``idx`` (0-based position in the total order ``order``) to every row.
 
     Range partitioning splits even a single hot key value across tasks when
-    the order has a unique tie-breaker; per-partition counts (one row per
-    partition) give the offsets.
+    the order ends in a unique tie-breaker. The range-partitioned rows are
+    checkpointed to the shared checkpoint folder so partition ids are fixed
+    (a recomputation or a different coalescing could otherwise renumber
+    them); per-partition counts (one row per partition) give the offsets.
     """
+    from tallyspark.session import checkpoint_dir
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_p", F.spark_partition_id())
+    ranged = (df.repartitionByRange(n_parts, *order).checkpoint()
+                .withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_p", F.coalesce(
         F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -94,17 +94,17 @@ def spearman_pairs(pairs: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFram
     """
     rx = cumulative_counts(pairs.groupBy(F.col("x").alias("v")).agg(F.sum("n").alias("t")), buckets)
     ry = cumulative_counts(pairs.groupBy(F.col("y").alias("v")).agg(F.sum("n").alias("t")), buckets)
-    total = pairs.agg(F.sum("n").alias("N"))
+    total = pairs.agg(F.sum("n").alias("_tot"))
     j = (pairs.join(rx.select(F.col("v").alias("x"), doubled_rank(F.col("below"), F.col("t")).alias("dx")), "x")
               .join(ry.select(F.col("v").alias("y"), doubled_rank(F.col("below"), F.col("t")).alias("dy")), "y")
               .crossJoin(F.broadcast(total)))
-    cx = (F.col("dx") - F.col("N") - 1).cast(BIG)
-    cy = (F.col("dy") - F.col("N") - 1).cast(BIG)
+    cx = (F.col("dx") - F.col("_tot") - 1).cast(BIG)
+    cy = (F.col("dy") - F.col("_tot") - 1).cast(BIG)
     nn = F.col("n").cast(BIG)
-    g = j.agg(F.first("N").alias("N"), F.sum(nn * cx * cy).alias("sxy"), F.sum(nn * cx * cx).alias("sxx"),
+    g = j.agg(F.first("_tot").alias("_tot"), F.sum(nn * cx * cy).alias("sxy"), F.sum(nn * cx * cx).alias("sxx"),
               F.sum(nn * cy * cy).alias("syy"))
     rho = F.col("sxy").cast("double") / F.sqrt(F.col("sxx").cast("double") * F.col("syy").cast("double"))
-    out = g.select(F.col("N").cast("long").alias("n"),
+    out = g.select(F.col("_tot").cast("long").alias("n"),
                    F.when((F.col("sxx") > 0) & (F.col("syy") > 0), rho).alias("statistic"))
     dof = F.col("n") - 2
     r = F.col("statistic")
@@ -154,29 +154,29 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = contingency(df, a, b)
     ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
     cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    tot = cells.agg(F.sum("n").alias("N"), F.count_distinct("a").alias("R"), F.count_distinct("b").alias("K"))
+    tot = cells.agg(F.sum("n").alias("_tot"), F.count_distinct("a").alias("_r"), F.count_distinct("b").alias("_k"))
     j = cells.join(ra, "a").join(cb, "b").crossJoin(F.broadcast(tot))
-    e = F.col("ra").cast("double") * F.col("cb").cast("double") / F.col("N").cast("double")
-    dof = (F.col("R") - 1) * (F.col("K") - 1)
+    e = F.col("ra").cast("double") * F.col("cb").cast("double") / F.col("_tot").cast("double")
+    dof = (F.col("_r") - 1) * (F.col("_k") - 1)
     obs = F.col("n").cast("double")
     diff = e - obs
     adj = F.when(dof == 1, obs + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)).otherwise(obs)
-    g = j.select("N", "R", "K", dof.alias("dof"), e.alias("e"), ((adj - e) * (adj - e) / e).alias("term")) \
-         .groupBy("N", "R", "K", "dof").agg(F.sum("term").alias("chi2"), F.min("e").alias("min_e"))
+    g = j.select("_tot", "_r", "_k", dof.alias("dof"), e.alias("e"), ((adj - e) * (adj - e) / e).alias("term")) \
+         .groupBy("_tot", "_r", "_k", "dof").agg(F.sum("term").alias("chi2"), F.min("e").alias("min_e"))
     chi2 = F.when(F.col("dof") == 0, F.lit(0.0)).otherwise(F.col("chi2"))
-    n = F.col("N").cast("double")
-    phi2c = F.greatest(F.lit(0.0), F.col("chi_square") / n - (F.col("K") - 1) * (F.col("R") - 1) / (n - 1.0))
-    rc = F.col("R") - (F.col("R") - 1) * (F.col("R") - 1) / (n - 1.0)
-    kc = F.col("K") - (F.col("K") - 1) * (F.col("K") - 1) / (n - 1.0)
+    n = F.col("_tot").cast("double")
+    phi2c = F.greatest(F.lit(0.0), F.col("chi_square") / n - (F.col("_k") - 1) * (F.col("_r") - 1) / (n - 1.0))
+    rc = F.col("_r") - (F.col("_r") - 1) * (F.col("_r") - 1) / (n - 1.0)
+    kc = F.col("_k") - (F.col("_k") - 1) * (F.col("_k") - 1) / (n - 1.0)
     den = F.least(kc - 1.0, rc - 1.0)
     out = g.select(F.lit(f"{a} x {b}").alias("variables"), chi2.alias("chi_square"),
-                   F.col("dof").cast("long").alias("degrees_of_freedom"), "N", "R", "K",
+                   F.col("dof").cast("long").alias("degrees_of_freedom"), "_tot", "_r", "_k",
                    F.col("min_e").alias("minimum_expected_count"))
     return out.select("variables", "chi_square", "degrees_of_freedom",
                       F.when(F.col("degrees_of_freedom") == 0, F.lit(1.0))
                        .otherwise(chi2_sf(F.col("chi_square"), F.col("degrees_of_freedom"))).alias("p_value"),
                       F.when(den > 0, F.sqrt(phi2c / den)).otherwise(F.lit(0.0)).alias("cramers_v_bias_corrected"),
-                      "minimum_expected_count", F.col("N").cast("long").alias("n"))
+                      "minimum_expected_count", F.col("_tot").cast("long").alias("n"))
 
 
 def fdr_bh(df: DataFrame, p: str = "p_value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:

@@ -311,12 +311,12 @@ def q_time_series_folds(spark, sf_dir):
 te AS (SELECT total_spent AS y FROM clean WHERE total_spent IS NOT NULL AND transaction_date >= '{MD.HOLDOUT_START}'),
 b AS (SELECT quantile_cont(y, 0.5) AS m FROM tr),
 e AS (SELECT CAST(y AS DECIMAL(18,2)) - CAST(m AS DECIMAL(18,2)) AS e, CAST(y AS DECIMAL(18,2)) AS yd FROM te, b),
-s AS (SELECT COUNT(*) AS n, CAST(SUM(abs(e)) AS DOUBLE) AS sae, CAST(SUM(e * e) AS DOUBLE) AS sse,
+bs AS (SELECT COUNT(*) AS n, CAST(SUM(abs(e)) AS DOUBLE) AS sae, CAST(SUM(e * e) AS DOUBLE) AS sse,
              CAST(SUM(yd) AS DOUBLE) AS sy, CAST(SUM(yd * yd) AS DOUBLE) AS syy,
              quantile_cont(CAST(abs(e) AS DOUBLE), 0.5) AS mae_med FROM e)
 SELECT (SELECT m FROM b) AS baseline, n, round(sae / n, {DIGITS}) AS MAE, round(sqrt(sse / n), {DIGITS}) AS RMSE,
        round(1.0 - sse / (syy - sy * sy / n), {DIGITS}) AS R2, mae_med AS MedianAE
-FROM s"""))
+FROM bs"""))
 def q_baseline_metrics(spark, sf_dir):
     c = cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull())
     tr = c.where(F.col("transaction_date") < MD.HOLDOUT_START).select(F.col("total_spent").alias("y"))

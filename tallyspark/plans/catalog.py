@@ -42,8 +42,18 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> DataFrame:
-    """Cleaned table; quantity kept as double (the whole-number cast only changes the type)."""
-    return C.clean(retail_raw(spark, sf_dir), keep_internal=keep_internal, quantity_mode=False)
+    """Cleaned table of the driver tables in ``sf_dir``.
+
+    Built once per input fingerprint (with the audit helper columns) and
+    written to the shared checkpoint folder; reports read that table.
+    Quantity is kept as double (the whole-number cast only changes the type).
+    """
+    from tallyspark.plans.materialize import materialized
+    from tallyspark.sources.adapter import TABLES
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
+    full = materialized(spark, "clean_internal", inputs,
+                        lambda: C.clean(retail_raw(spark, sf_dir), keep_internal=True, quantity_mode=False))
+    return full if keep_internal else full.select(*C.CLEAN_COLUMNS)
 
 
 def cube(spark, sf_dir):
@@ -71,6 +81,12 @@ def q_scan_clean(spark, sf_dir):
     return cleaned(spark, sf_dir)
 
 
+@register("clean_pipeline", with_clean("SELECT * FROM clean"))
+def q_clean_pipeline(spark, sf_dir):
+    """The full cleaning plan from the raw tables (not the written table); quantity type decided from the data."""
+    return C.clean(retail_raw(spark, sf_dir))
+
+
 @register("check_source_schema")
 def q_check_source_schema(spark, sf_dir):
     from tallyspark.sources.files import check_source_schema
