@@ -88,20 +88,20 @@ def q_mann_whitney(spark, sf_dir):
 def _spearman_sql(pairs_cte: str, n_name: str = "n", test: str = "Spearman correlation") -> str:
     return _clean_then(f"""
 , pairs AS ({pairs_cte}),
-tot AS (SELECT SUM(n) AS N FROM pairs),
+tot AS (SELECT SUM(n) AS tot_n FROM pairs),
 rx AS (SELECT x, 2 * coalesce(SUM(t) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + t + 1 AS dx
        FROM (SELECT x, SUM(n) AS t FROM pairs GROUP BY x)),
 ry AS (SELECT y, 2 * coalesce(SUM(t) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + t + 1 AS dy
        FROM (SELECT y, SUM(n) AS t FROM pairs GROUP BY y)),
-s AS (SELECT max(N) AS N,
-             SUM(CAST(n AS HUGEINT) * (dx - N - 1) * (dy - N - 1)) AS sxy,
-             SUM(CAST(n AS HUGEINT) * (dx - N - 1) * (dx - N - 1)) AS sxx,
-             SUM(CAST(n AS HUGEINT) * (dy - N - 1) * (dy - N - 1)) AS syy
+sp AS (SELECT max(tot_n) AS tot_n,
+             SUM(CAST(n AS HUGEINT) * (dx - tot_n - 1) * (dy - tot_n - 1)) AS sxy,
+             SUM(CAST(n AS HUGEINT) * (dx - tot_n - 1) * (dx - tot_n - 1)) AS sxx,
+             SUM(CAST(n AS HUGEINT) * (dy - tot_n - 1) * (dy - tot_n - 1)) AS syy
       FROM pairs JOIN rx USING (x) JOIN ry USING (y) CROSS JOIN tot)
-SELECT '{test}' AS test, CAST(N AS BIGINT) AS {n_name},
+SELECT '{test}' AS test, CAST(tot_n AS BIGINT) AS {n_name},
        round(CASE WHEN sxx > 0 AND syy > 0 THEN CAST(sxy AS DOUBLE) / sqrt(CAST(sxx AS DOUBLE) * CAST(syy AS DOUBLE)) END,
              {DIGITS}) AS statistic
-FROM s""")
+FROM sp""")
 
 
 @register("spearman_price_quantity", _spearman_sql(
@@ -130,19 +130,19 @@ cells AS (SELECT ra.a, cb.b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT a FROM
           CROSS JOIN (SELECT DISTINCT b FROM cells0) cb LEFT JOIN cells0 c ON c.a = ra.a AND c.b = cb.b),
 ra AS (SELECT a, SUM(n) AS ra FROM cells GROUP BY a),
 cb AS (SELECT b, SUM(n) AS cb FROM cells GROUP BY b),
-tot AS (SELECT SUM(n) AS N, COUNT(DISTINCT a) AS R, COUNT(DISTINCT b) AS K FROM cells),
-j AS (SELECT n, CAST(ra AS DOUBLE) * CAST(cb AS DOUBLE) / CAST(N AS DOUBLE) AS e, N, R, K, (R - 1) * (K - 1) AS dof
+tot AS (SELECT SUM(n) AS tot_n, COUNT(DISTINCT a) AS r_lv, COUNT(DISTINCT b) AS k_lv FROM cells),
+j AS (SELECT cells.n AS n, CAST(ra AS DOUBLE) * CAST(cb AS DOUBLE) / CAST(tot_n AS DOUBLE) AS e, tot_n, r_lv, k_lv, (r_lv - 1) * (k_lv - 1) AS dof
       FROM cells JOIN ra USING (a) JOIN cb USING (b) CROSS JOIN tot),
-t AS (SELECT N, R, K, dof, e,
+t AS (SELECT tot_n, r_lv, k_lv, dof, e,
              CASE WHEN dof = 1 THEN CAST(n AS DOUBLE) + least(0.5, abs(e - n)) * sign(e - n) ELSE CAST(n AS DOUBLE) END AS adj FROM j),
-g AS (SELECT N, R, K, dof, CASE WHEN dof = 0 THEN 0.0 ELSE SUM((adj - e) * (adj - e) / e) END AS chi2, min(e) AS min_e
-      FROM t GROUP BY N, R, K, dof),
-v AS (SELECT *, greatest(0.0, chi2 / CAST(N AS DOUBLE) - (K - 1) * (R - 1) / (CAST(N AS DOUBLE) - 1.0)) AS phi2c,
-             least((K - (K - 1) * (K - 1) / (CAST(N AS DOUBLE) - 1.0)) - 1.0, (R - (R - 1) * (R - 1) / (CAST(N AS DOUBLE) - 1.0)) - 1.0) AS den
+g AS (SELECT tot_n, r_lv, k_lv, dof, CASE WHEN dof = 0 THEN 0.0 ELSE SUM((adj - e) * (adj - e) / e) END AS chi2, min(e) AS min_e
+      FROM t GROUP BY tot_n, r_lv, k_lv, dof),
+v AS (SELECT *, greatest(0.0, chi2 / CAST(tot_n AS DOUBLE) - (k_lv - 1) * (r_lv - 1) / (CAST(tot_n AS DOUBLE) - 1.0)) AS phi2c,
+             least((k_lv - (k_lv - 1) * (k_lv - 1) / (CAST(tot_n AS DOUBLE) - 1.0)) - 1.0, (r_lv - (r_lv - 1) * (r_lv - 1) / (CAST(tot_n AS DOUBLE) - 1.0)) - 1.0) AS den
       FROM g)
 SELECT '{a} x {b}' AS variables, round(chi2, {DIGITS}) AS chi_square, CAST(dof AS BIGINT) AS degrees_of_freedom,
        round(CASE WHEN den > 0 THEN sqrt(phi2c / den) ELSE 0.0 END, {DIGITS}) AS cramers_v_bias_corrected,
-       round(min_e, {DIGITS}) AS minimum_expected_count, CAST(N AS BIGINT) AS n
+       round(min_e, {DIGITS}) AS minimum_expected_count, CAST(tot_n AS BIGINT) AS n
 FROM v""")
 
 
@@ -352,8 +352,15 @@ def q_leakage_guard(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, allowed boolean, present boolean")
 
 
+_BENCH_RESULTS: dict = {}
+
+
 def _bench(spark, sf_dir):
-    return MD.benchmark(cleaned(spark, sf_dir))
+    """One benchmark run per (session, input) feeds ridge_cv, holdout_metrics and subgroup_metrics."""
+    key = (id(spark), sf_dir)
+    if key not in _BENCH_RESULTS:
+        _BENCH_RESULTS[key] = MD.benchmark(cleaned(spark, sf_dir))
+    return _BENCH_RESULTS[key]
 
 
 @register("ridge_cv")
