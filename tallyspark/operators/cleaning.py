@@ -204,16 +204,14 @@ def add_audit_columns(df: DataFrame) -> DataFrame:
                      missing_pattern_expr().alias("missing_pattern"))
 
 
-def clean(raw: DataFrame, *, case_insensitive: bool = False, strict_price: bool = False,
-          quantity_mode: str | bool = "auto", buckets: int = DEFAULT_BUCKETS,
-          keep_internal: bool = False) -> DataFrame:
-    """Full cleaning: raw text table -> 21-column cleaned table.
+def clean_parsed(parsed: DataFrame, *, strict_price: bool = False, quantity_mode: str | bool = "auto",
+                 buckets: int = DEFAULT_BUCKETS, keep_internal: bool = False) -> DataFrame:
+    """Cleaning rules after ``parse_raw``.
 
-    Order of rules: parse -> derive price -> item lookup (map from recorded
-    prices, applied to recorded-or-derived prices) -> whole-quantity cast ->
+    Order of rules: derive price -> item lookup (map from recorded prices,
+    applied to recorded-or-derived prices) -> whole-quantity cast ->
     arithmetic flag -> calendar parts -> IQR flag -> missing pattern.
     """
-    parsed = parse_raw(raw, case_insensitive)
     priced = derive_price(parsed, strict=strict_price)
     mapping = item_map(priced)
     imputed = impute_item(priced, mapping)
@@ -230,6 +228,37 @@ def clean(raw: DataFrame, *, case_insensitive: bool = False, strict_price: bool
     return bounded.select(*CLEAN_COLUMNS)
 
 
+def clean(raw: DataFrame, *, case_insensitive: bool = False, strict_price: bool = False,
+          quantity_mode: str | bool = "auto", buckets: int = DEFAULT_BUCKETS,
+          keep_internal: bool = False) -> DataFrame:
+    """Full cleaning as one lazy plan: raw text table -> 21-column cleaned table."""
+    return clean_parsed(parse_raw(raw, case_insensitive), strict_price=strict_price, quantity_mode=quantity_mode,
+                        buckets=buckets, keep_internal=keep_internal)
+
+
+def write_clean_table(raw: DataFrame, path: str, *, case_insensitive: bool = False, strict_price: bool = False,
+                      quantity_mode: str | bool = "auto", buckets: int = DEFAULT_BUCKETS,
+                      keep_internal: bool = False, partition_by: list[str] | None = None) -> None:
+    """Cleaning ETL: parse once, derive every side aggregate from that, write Parquet.
+
+    The parsed table feeds the main rows, the item map, the lookup branch and
+    the IQR value counts, so it is persisted (memory, spilling to disk) for the
+    duration of the write instead of re-reading and re-parsing the input for
+    each consumer. Lost cached blocks are recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+    parsed = parse_raw(raw, case_insensitive).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = clean_parsed(parsed, strict_price=strict_price, quantity_mode=quantity_mode, buckets=buckets,
+                           keep_internal=keep_internal)
+        writer = out.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        parsed.unpersist()
+
+
 @dataclass
 class CleaningCounters:
     """Labelled counters of one cleaning run (all computed in one aggregate)."""

@@ -121,8 +121,10 @@ def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "prediction",
     keys = [by] if by else []
     g = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("MAE"),
                                 F.sqrt(F.avg(e * e)).alias("RMSE"), F.sum(e * e).alias("_sse"),
-                                (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"),
-                                F.median(F.abs(e)).alias("MedianAE"))
+                                (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"))
+    med = exact_quantiles(pred.select(*keys, F.abs(e).alias("_ae")), "_ae", [0.5], by=keys) \
+        .select(*keys, F.col("q").alias("MedianAE"))
+    g = g.join(med, keys) if keys else g.crossJoin(med)
     r2 = F.when(F.col("_sst") > 0, 1.0 - F.col("_sse") / F.col("_sst")) \
           .otherwise(F.when(F.col("_sse") == 0, 1.0).otherwise(0.0))
     return g.select(*keys, "n", "MAE", "RMSE", r2.alias("R2"), "MedianAE")

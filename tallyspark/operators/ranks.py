@@ -1,11 +1,13 @@
 """Exact ranks, quantiles and positional indexes without a single-partition sort.
 
 A window without PARTITION BY moves every row into one task. Instead values
-are first reduced to a value-count table (one row per distinct value), which
-is split into ordered buckets at approximate cut points; bucket totals (a few
-hundred rows) give each bucket its offset, and only a window *inside* a bucket
-orders values. The result is exact whatever the cut points are; they only
-balance the work.
+are first reduced to a value-count table (one row per distinct value). That
+table is range-partitioned and checkpointed to the shared checkpoint folder,
+so its partitions are ordered buckets with fixed ids; per-bucket totals (one
+row per bucket) give each bucket its offset, and only a window *inside* a
+bucket orders values. The result is exact whatever the bucket bounds are;
+they only balance the work. Range partitioning samples the keys, so a
+value's bucket never depends on a Python-side list of cut points.
 
 Ranks are kept doubled, ``2 * below + t + 1`` for a value seen ``t`` times with
 ``below`` smaller values, so they are integers and rank sums are exact.
@@ -19,22 +21,27 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def with_bucket(df: DataFrame, col: str, buckets: int) -> DataFrame:
-    """Adds ``_b``, an ordered bucket id of a numeric column.
+def _partitions(spark, buckets: int | None) -> int:
+    return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Cut points are approximate equi-depth quantiles of the column itself
-    (``percentile_approx``: bounded-size sketches merged into one row), broadcast
-    as a single array; the bucket is the number of cut points <= value. The
-    cuts only balance the work, exactness never depends on them.
+
+def ranged(df: DataFrame, order: list, buckets: int | None = None) -> DataFrame:
+    """Range-partitioned, checkpointed copy of ``df`` with ``_p``, its ordered bucket id.
+
+    The checkpoint (reliable, in the shared checkpoint folder) fixes the
+    partition ids: a recomputation or another coalescing can not renumber
+    them, and downstream consumers all see the same buckets.
     """
-    if buckets <= 1:
-        return df.withColumn("_b", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    v = F.col(col).cast("double")
-    cuts = df.agg(F.percentile_approx(v, probs, 16 * buckets).alias("_cuts"))
-    return (df.crossJoin(F.broadcast(cuts))
-              .withColumn("_b", F.size(F.filter(F.col("_cuts"), lambda c: c <= v)))
-              .drop("_cuts"))
+    from tallyspark.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    return (df.repartitionByRange(_partitions(spark, buckets), *order).checkpoint()
+              .withColumn("_p", F.spark_partition_id()))
+
+
+def with_bucket(df: DataFrame, col: str, buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Adds ``_b``, an ordered bucket id of ``col`` (ordered by ``by`` first, if given)."""
+    return ranged(df, [*(by or []), col], buckets).withColumnRenamed("_p", "_b")
 
 
 def value_counts(df: DataFrame, col: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -45,21 +52,33 @@ def value_counts(df: DataFrame, col: str, by: list[str] | None = None, weight: s
               .groupBy(*by, F.col(col).alias("v")).agg(t.cast("long").alias("t")))
 
 
-def cumulative_counts(vc: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """(v, t, below) from a value-count table (v, t): ``below`` = count of smaller values.
+def _bucket_offsets(b: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., _b, _off, _bt): values of the group before each bucket and in it.
 
-    Lazy; work per task is bounded by the bucket size, not by the table.
+    One row per (group, bucket) pair: at most buckets + groups rows.
     """
-    b = with_bucket(vc.select("v", "t"), "v", buckets)
-    # Offsets of each bucket: prefix sum over at most `buckets` rows.
-    totals = b.groupBy("_b").agg(F.sum("t").alias("_bt"))
-    offsets = totals.select(
-        "_b", F.coalesce(F.sum("_bt").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(F.broadcast(offsets), "_b")
-              .select("v", "t", (F.col("_off") + F.coalesce(F.sum("t").over(inner), F.lit(0)))
-                      .cast("long").alias("below")))
+    totals = b.groupBy(*by, "_b").agg(F.sum("t").alias("_bt"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if by else \
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*by, "_b", F.coalesce(F.sum("_bt").over(w), F.lit(0)).alias("_off"), "_bt")
+
+
+def cumulative_counts(vc: DataFrame, buckets: int | None = DEFAULT_BUCKETS, by: list[str] | None = None,
+                      keep_bucket: bool = False) -> DataFrame:
+    """(by..., v, t, below) from a value-count table: ``below`` = count of smaller values in the group.
+
+    Lazy; work per task is bounded by the bucket size, not by the table or
+    the group.
+    """
+    by = list(by or [])
+    b = with_bucket(vc.select(*by, "v", "t"), "v", buckets, by)
+    offsets = _bucket_offsets(b, by)
+    inner = Window.partitionBy(*by, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.broadcast(offsets) if not by else offsets  # without groups: one row per bucket
+    out = b.join(off, [*by, "_b"]).select(
+        *by, "v", "t", (F.col("_off") + F.coalesce(F.sum("t").over(inner), F.lit(0))).cast("long").alias("below"),
+        "_b", "_off", "_bt")
+    return out if keep_bucket else out.drop("_b", "_off", "_bt")
 
 
 def doubled_rank(below: Column, t: Column) -> Column:
@@ -73,51 +92,72 @@ def midranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFra
     return cum.withColumn("rank", doubled_rank(F.col("below"), F.col("t")) / 2.0)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per probability: linear-interpolated exact quantile (numpy default).
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS,
+                    by: list[str] | None = None) -> DataFrame:
+    """(by..., pi, p, q): linear-interpolated exact quantiles (numpy default), per group.
 
-    Position h = (n - 1) p; the values at floor(h) and floor(h) + 1 are looked
-    up in the cumulative value-count table, so no group holds all values.
+    Position h = (n - 1) p. The bucket holding positions floor(h) and
+    floor(h) + 1 is found from the per-group bucket totals, and only that
+    bucket's value counts are searched, so no task holds a whole group.
     """
-    cum = cumulative_counts(value_counts(df, col), buckets)
-    n = cum.agg(F.sum("t").alias("n"))
+    by = list(by or [])
+    for c in by:  # null groups are dropped, as a pandas groupby does
+        df = df.where(F.col(c).isNotNull())
+    cum = cumulative_counts(value_counts(df, col, by), buckets, by, keep_bucket=True)
+    buckets_tbl = cum.select(*by, "_b", "_off", "_bt").distinct()
+    n = buckets_tbl.groupBy(*by).agg(F.sum("_bt").alias("_n"))
     plist = F.array(*[F.lit(float(p)) for p in probs])
     ps = (df.sparkSession.range(len(probs))
             .select(F.col("id").cast("int").alias("pi"), F.element_at(plist, F.col("id").cast("int") + 1).alias("p")))
-    pos = (ps.crossJoin(F.broadcast(n)).where(F.col("n") > 0)
-             .withColumn("h", (F.col("n") - 1) * F.col("p"))
-             .withColumn("lo", F.floor("h").cast("long"))
-             .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1))
-             .withColumn("frac", F.col("h") - F.col("lo")))
-    # k-th smallest (0-based) is the value with below <= k < below + t.
-    hit = lambda k: (F.col(k) >= F.col("below")) & (F.col(k) < F.col("below") + F.col("t"))
-    # The cumulative table streams; only the (few) probability rows are broadcast.
-    lo = cum.join(F.broadcast(pos), hit("lo")).select("pi", F.col("v").cast("double").alias("v_lo"))
-    hi = cum.join(F.broadcast(pos), hit("hi")).select("pi", F.col("v").cast("double").alias("v_hi"))
-    return (pos.join(lo, "pi").join(hi, "pi")
-              .select("pi", "p", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
-              .orderBy("pi"))
-
-
-def row_index(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds ``idx`` (0-based position in the total order ``order``) to every row.
+    pos = (n.crossJoin(F.broadcast(ps)).where(F.col("_n") > 0)
+             .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
+             .withColumn("_lo", F.floor("_h").cast("long"))
+             .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
+             .withColumn("_frac", F.col("_h") - F.col("_lo")))
+
+    def value_at(k: str, name: str) -> DataFrame:
+        in_bucket = (F.col(k) >= F.col("_off")) & (F.col(k) < F.col("_off") + F.col("_bt"))
+        where = pos.join(buckets_tbl, by, "inner").where(in_bucket).select(*by, "pi", "_b", k) if by else \
+            pos.crossJoin(buckets_tbl).where(in_bucket).select("pi", "_b", k)
+        hit = (F.col(k) >= F.col("below")) & (F.col(k) < F.col("below") + F.col("t"))
+        return (cum.join(where, [*by, "_b"]).where(hit)
+                   .select(*by, "pi", F.col("v").cast("double").alias(name)))
+
+    lo = value_at("_lo", "_v_lo")
+    hi = value_at("_hi", "_v_hi")
+    return (pos.join(lo, [*by, "pi"]).join(hi, [*by, "pi"])
+               .select(*by, "pi", "p", (F.col("_v_lo") + F.col("_frac") * (F.col("_v_hi") - F.col("_v_lo"))).alias("q")))
+
+
+def running_total(df: DataFrame, order: list, value: str | None = None,
+                  partitions: int | None = None) -> DataFrame:
+    """Adds ``idx`` (0-based position in the total order) and ``running`` (sum of ``value`` up to the row).
 
     Range partitioning splits even a single hot key value across tasks when
-    the order ends in a unique tie-breaker. The range-partitioned rows are
-    checkpointed to the shared checkpoint folder so partition ids are fixed
-    (a recomputation or a different coalescing could otherwise renumber
-    them); per-partition counts (one row per partition) give the offsets.
+    the order ends in a unique tie-breaker; per-partition totals (one row per
+    partition) give the offsets.
     """
-    from tallyspark.session import checkpoint_dir
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order).checkpoint()
-                .withColumn("_p", F.spark_partition_id()))
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_p", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    r = ranged(df, order, partitions)
+    val = F.col(value) if value else F.lit(0)
+    counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_soff"))
     w = Window.partitionBy("_p").orderBy(*order)
-    return (ranged.join(F.broadcast(offsets), "_p")
-                  .withColumn("idx", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-                  .drop("_p", "_off"))
+    out = (r.join(F.broadcast(offsets), "_p")
+            .withColumn("idx", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .withColumn("running", F.col("_soff") + F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    out = out.drop("_p", "_off", "_soff")
+    return out if value else out.drop("running")
+
+
+def row_index(df: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
+    """Adds ``idx``, the 0-based position of each row in the total order ``order``."""
+    return running_total(df, order, None, partitions)
+
+
+def rank_desc(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Adds ``rank_<col>``: SQL RANK() by ``col`` descending (1 + number of larger values), nulls last."""
+    vc = value_counts(df.select((-F.col(col)).alias("_neg")), "_neg")
+    cum = cumulative_counts(vc, buckets).select((-F.col("v")).alias(col), (F.col("below") + 1).alias(f"rank_{col}"))
+    return df.join(cum, col, "left")

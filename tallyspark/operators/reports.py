@@ -185,40 +185,41 @@ def outlier_sensitivity(df: DataFrame) -> DataFrame:
 
 
 def median_by_category(df: DataFrame) -> DataFrame:
-    """Median recorded total per category (exact, linear interpolation).
-
-    ``median`` buffers a group's values in one task; a category is a small
-    set of distinct money values. For unbounded groups use ranks.exact_quantiles.
-    """
-    return (df.where(F.col("total_spent").isNotNull()).groupBy("category")
-              .agg(F.median("total_spent").alias("median_total"), F.count(F.lit(1)).alias("n")))
+    """Median recorded total per category (exact, linear interpolation, no per-group buffer)."""
+    from tallyspark.operators.ranks import exact_quantiles
+    t = df.where(F.col("total_spent").isNotNull())
+    med = exact_quantiles(t, "total_spent", [0.5], by=["category"]).select("category", F.col("q").alias("median_total"))
+    n = t.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return med.join(n, "category", "inner")
 
 
 def item_pareto(df: DataFrame) -> DataFrame:
-    """Items by revenue (desc) with cumulative revenue share (F8).
+    """Items by revenue (desc, then item) with cumulative revenue share (F8).
 
-    Item revenue is aggregated first (one row per item); the cumulative window
-    runs over that aggregate. Ties are broken by item name.
+    Item revenue is aggregated first (one row per item); the running total
+    is a range-partitioned scan with per-partition offsets, not a global window.
     """
+    from tallyspark.operators.ranks import running_total
     g = (df.where(F.col("item").isNotNull() & F.col("total_spent").isNotNull())
            .groupBy("item").agg(money("total_spent").alias("_r")))
-    w = Window.orderBy(F.col("_r").desc(), F.col("item").asc())
-    return g.select("item", F.col("_r").cast("double").alias("revenue"),
-                    F.row_number().over(w).alias("revenue_rank"),
-                    (F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-                     / F.sum("_r").over(Window.partitionBy()).cast("double")).alias("cumulative_share"))
+    total = g.agg(F.sum("_r").alias("_tot"))
+    rt = running_total(g, [F.col("_r").desc(), F.col("item").asc()], "_r")
+    return rt.crossJoin(F.broadcast(total)).select(
+        "item", F.col("_r").cast("double").alias("revenue"), (F.col("idx") + 1).alias("revenue_rank"),
+        (F.col("running").cast("double") / F.col("_tot").cast("double")).alias("cumulative_share"))
 
 
 def item_rank_stability(df: DataFrame) -> DataFrame:
-    """Item rank by units with recorded items only vs. with imputed items too."""
+    """Item rank by units with recorded items only vs. with imputed items too (SQL RANK)."""
+    from tallyspark.operators.ranks import rank_desc
     base = df.where(F.col("item").isNotNull() & F.col("quantity").isNotNull())
     rec = (base.where(F.col("item_imputed") == "No").groupBy("item")
                .agg(F.sum(F.col("quantity").cast("double")).alias("units_recorded")))
     allr = base.groupBy("item").agg(F.sum(F.col("quantity").cast("double")).alias("units_all"))
     j = allr.join(rec, "item", "left").fillna(0.0, ["units_recorded"])
-    ra = F.rank().over(Window.orderBy(F.col("units_recorded").desc()))
-    rb = F.rank().over(Window.orderBy(F.col("units_all").desc()))
-    return (j.select("item", "units_recorded", "units_all", ra.alias("rank_recorded"), rb.alias("rank_all"))
+    j = rank_desc(rank_desc(j, "units_recorded"), "units_all")
+    return (j.select("item", "units_recorded", "units_all", F.col("rank_units_recorded").alias("rank_recorded"),
+                     F.col("rank_units_all").alias("rank_all"))
              .withColumn("rank_change", F.col("rank_recorded") - F.col("rank_all")))
 
 

@@ -52,7 +52,8 @@ def cleaned(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> Da
     from tallyspark.sources.adapter import TABLES
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
     full = materialized(spark, "clean_internal", inputs,
-                        lambda: C.clean(retail_raw(spark, sf_dir), keep_internal=True, quantity_mode=False))
+                        lambda path: C.write_clean_table(retail_raw(spark, sf_dir), path, keep_internal=True,
+                                                         quantity_mode=False))
     return full if keep_internal else full.select(*C.CLEAN_COLUMNS)
 
 
@@ -616,7 +617,7 @@ def q_outlier_sensitivity(spark, sf_dir):
 
 @register("median_by_category", with_clean("""
 SELECT category, CAST(median(total_spent) AS DOUBLE) AS median_total, COUNT(*) AS n
-FROM clean WHERE total_spent IS NOT NULL GROUP BY category"""))
+FROM clean WHERE total_spent IS NOT NULL AND category IS NOT NULL GROUP BY category"""))
 def q_median_by_category(spark, sf_dir):
     return R.median_by_category(cleaned(spark, sf_dir))
 

@@ -43,9 +43,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def materialized(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``name`` for these inputs from the shared folder, building and writing it first if absent."""
+def materialized(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> DataFrame:
+    """Read ``name`` for these inputs from the shared folder, writing it first (``write(path)``) if absent."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/tallyspark/{name}-{input_signature(spark, inputs)}"
     if not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+        write(path)
     return spark.read.parquet(path)
