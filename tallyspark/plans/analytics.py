@@ -379,3 +379,56 @@ def q_holdout_metrics(spark, sf_dir):
 @register("subgroup_metrics")
 def q_subgroup_metrics(spark, sf_dir):
     return _bench(spark, sf_dir)["subgroups"]
+
+
+@register("select_alpha")
+def q_select_alpha(spark, sf_dir):
+    r = _bench(spark, sf_dir)
+    return r["cv"].where(F.col("alpha") == r["alpha"]).select("alpha", "mean_MAE", "sd_MAE")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """Holdout scores of the selected Ridge, the training-median baseline and the
+    arithmetic identity price x quantity (a leakage oracle: it uses the target's components)."""
+    r = _bench(spark, sf_dir)
+    test_rows = (cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull()
+                                              & (F.col("transaction_date") >= MD.HOLDOUT_START))
+                 .select(F.col("total_spent").alias("y"),
+                         (F.col("price_per_unit") * F.col("quantity")).alias("prediction"))
+                 .where(F.col("prediction").isNotNull()))
+    parts = [r["holdout"].withColumn("model", F.lit(f"ridge alpha={r['alpha']}")),
+             r["baseline"].withColumn("model", F.lit("training median")),
+             MD.regression_metrics(test_rows).withColumn("model", F.lit("price x quantity (leaks target)"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("model", "n", "MAE", "RMSE", "R2", "MedianAE")
+
+
+@register("baseline_median", _clean_then(f"""
+SELECT quantile_cont(total_spent, 0.5) AS baseline FROM clean
+WHERE total_spent IS NOT NULL AND transaction_date < '{MD.HOLDOUT_START}'"""))
+def q_baseline_median(spark, sf_dir):
+    tr = cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull() & (F.col("transaction_date") < MD.HOLDOUT_START))
+    return RK.exact_quantiles(tr, "total_spent", [0.5]).select(F.col("q").alias("baseline"))
+
+
+@register("time_order_index", _clean_then("""
+SELECT transaction_id, ROW_NUMBER() OVER (ORDER BY transaction_date, transaction_id) - 1 AS idx
+FROM clean WHERE total_spent IS NOT NULL"""))
+def q_time_order_index(spark, sf_dir):
+    df = cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull()).select("transaction_id", "transaction_date")
+    return RK.row_index(df, ["transaction_date", "transaction_id"]).select("transaction_id", "idx")
+
+
+@register("split_overlap_dates", _clean_then(f"""
+SELECT COUNT(*) AS overlapping_dates FROM (
+  SELECT DISTINCT transaction_date FROM clean WHERE total_spent IS NOT NULL AND transaction_date < '{MD.HOLDOUT_START}'
+  INTERSECT
+  SELECT DISTINCT transaction_date FROM clean WHERE total_spent IS NOT NULL AND transaction_date >= '{MD.HOLDOUT_START}')"""))
+def q_split_overlap_dates(spark, sf_dir):
+    mf = cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull())
+    tr = mf.where(F.col("transaction_date") < MD.HOLDOUT_START).select("transaction_date")
+    te = mf.where(F.col("transaction_date") >= MD.HOLDOUT_START).select("transaction_date")
+    return tr.intersect(te).agg(F.count(F.lit(1)).alias("overlapping_dates"))

@@ -349,6 +349,11 @@ def q_top_products(spark, sf_dir):
     return R.top_products(cleaned(spark, sf_dir))
 
 
+@register("top_items_units", with_clean(_TOP.format(m=M("total_spent"), key="units_sold")))
+def q_top_items_units(spark, sf_dir):
+    return R.top_products(cleaned(spark, sf_dir), by="units")
+
+
 @register("top_items_transactions", with_clean(_TOP.format(m=M("total_spent"), key="transaction_count")))
 def q_top_items_transactions(spark, sf_dir):
     return R.top_products(cleaned(spark, sf_dir), by="transactions")
@@ -542,6 +547,26 @@ def q_validate_checks(spark, sf_dir):
     return Q.validate_checks(cleaned(spark, sf_dir))
 
 
+@register("validate_or_raise")
+def q_validate_or_raise(spark, sf_dir):
+    """Runs the checks (a handful of booleans reach the driver) and raises if any fails."""
+    rows = Q.validate_or_raise(cleaned(spark, sf_dir))
+    return spark.createDataFrame(rows, "check string, passed boolean")
+
+
+@register("write_clean")
+def q_write_clean(spark, sf_dir):
+    """Cleaned-table sink: Parquet partitioned by year/month in a fresh folder of the shared checkpoint dir;
+    returns rows per partition read back with partition pruning available on (year, month)."""
+    import uuid
+
+    from tallyspark.session import checkpoint_dir
+    from tallyspark.sources.files import read_clean, write_clean
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tallyspark/clean-export-{uuid.uuid4().hex[:12]}"
+    write_clean(cleaned(spark, sf_dir), out, partition_by_month=True)
+    return read_clean(spark, out).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("quality_summary", with_clean(f"""
 SELECT COUNT(*) AS rows, 21 AS columns,
   strftime(min(CAST(transaction_date AS DATE)), '%Y-%m-%d') AS start,
@@ -805,8 +830,15 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    """Cleaned table -> cube -> KPIs of the default period vs the previous equal-length period."""
+    """Cleaned table -> cube -> KPIs of the last twelve complete months vs the twelve before.
+
+    The month list is one row per calendar month present (a few hundred at
+    most), so reading it on the driver is bounded.
+    """
     c = cleaned(spark, sf_dir)
     cb = D.build_cube(c)
     period = D.default_period(cb, D.last_date_info(c)).first()
-    return D.kpi_period_over_period(cb, period["start_month"], period["end_month"])
+    months = [r["month"] for r in D.month_index(cb).orderBy("mi").collect()]
+    end = period["end_month"]
+    start = months[max(0, months.index(end) - 11)] if end in months else period["start_month"]
+    return D.kpi_period_over_period(cb, start, end)

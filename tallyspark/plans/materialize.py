@@ -24,9 +24,20 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def code_signature() -> str:
+    """Hash of the source of the modules that define the cleaned table, so a rule change never reuses a stale table."""
+    import inspect
+
+    from tallyspark.functions import calendar, numeric, text
+    from tallyspark.operators import cleaning, ranks
+    from tallyspark.sources import adapter
+    src = "".join(inspect.getsource(m) for m in (text, numeric, calendar, cleaning, ranks, adapter))
+    return hashlib.sha1(src.encode()).hexdigest()[:12]
+
+
 def input_signature(spark: SparkSession, paths: list[str]) -> str:
-    """Hash of (path, total length, latest modification time) of each input."""
-    parts = []
+    """Hash of (path, total length, latest modification time) of each input and of the code version."""
+    parts = [code_signature()]
     for path in paths:
         fs, p = _fs(spark, path)
         summary = fs.getContentSummary(p)
