@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None  # None: one bucket per shuffle partition of the session
 
 
 def _partitions(spark, buckets: int | None) -> int:

@@ -146,32 +146,50 @@ def monthly_trend_spearman(df: DataFrame, buckets: int = DEFAULT_BUCKETS) -> Dat
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square test of independence, Yates-corrected when dof = 1, with bias-corrected Cramer's V (H7, H8).
-
-    Works on the long contingency table (cells x levels), never on rows.
+    """Chi-square test of independence with bias-corrected Cramer's V (H7, H8).
+
+    Works on the non-empty cells and the margins only. An empty cell with
+    expected count E contributes E to the statistic, so their total is
+    N - (sum of E over non-empty cells). With one degree of freedom (a 2 x 2
+    table) Yates' correction applies: each cell moves toward E by
+    min(0.5, |E - O|); the four expected counts come from the two row and two
+    column margins. The minimum expected count is min(row) * min(col) / N.
     """
     from tallyspark.operators.reports import contingency
     cells = contingency(df, a, b)
     ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
     cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    tot = cells.agg(F.sum("n").alias("_tot"), F.count_distinct("a").alias("_r"), F.count_distinct("b").alias("_k"))
-    j = cells.join(ra, "a").join(cb, "b").crossJoin(F.broadcast(tot))
-    e = F.col("ra").cast("double") * F.col("cb").cast("double") / F.col("_tot").cast("double")
-    dof = (F.col("_r") - 1) * (F.col("_k") - 1)
-    obs = F.col("n").cast("double")
-    diff = e - obs
-    adj = F.when(dof == 1, obs + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)).otherwise(obs)
-    g = j.select("_tot", "_r", "_k", dof.alias("dof"), e.alias("e"), ((adj - e) * (adj - e) / e).alias("term")) \
-         .groupBy("_tot", "_r", "_k", "dof").agg(F.sum("term").alias("chi2"), F.min("e").alias("min_e"))
-    chi2 = F.when(F.col("dof") == 0, F.lit(0.0)).otherwise(F.col("chi2"))
+    rm = ra.agg(F.sum("ra").alias("_tot"), F.count(F.lit(1)).alias("_r"), F.min("ra").alias("_rmin"),
+                F.max("ra").alias("_rmax"))
+    cm = cb.agg(F.count(F.lit(1)).alias("_k"), F.min("cb").alias("_cmin"), F.max("cb").alias("_cmax"))
+    margins = rm.crossJoin(cm)  # two one-row aggregates
     n = F.col("_tot").cast("double")
+    e = F.col("ra").cast("double") * F.col("cb").cast("double") / n
+    obs = F.col("n").cast("double")
+    dof = (F.col("_r") - 1) * (F.col("_k") - 1)
+    yates = obs + F.least(F.lit(0.5), F.abs(e - obs)) * F.signum(e - obs)
+    adj = F.when(dof == 1, yates).otherwise(obs)
+    nz = (cells.join(ra, "a").join(cb, "b").crossJoin(F.broadcast(margins))
+               .agg(F.sum((adj - e) * (adj - e) / e).alias("_nz"), F.sum(e).alias("_nze"),
+                    F.sum(F.when(dof == 1, (F.least(F.lit(0.5), e) - e) * (F.least(F.lit(0.5), e) - e) / e))
+                    .alias("_nzy"), F.count(F.lit(1)).alias("_cells")))
+
+    def g(x):  # Yates-corrected contribution of an empty cell with expected count x
+        return (F.least(F.lit(0.5), x) - x) * (F.least(F.lit(0.5), x) - x) / x
+    r1, r2 = F.col("_rmin").cast("double"), F.col("_rmax").cast("double")
+    c1, c2 = F.col("_cmin").cast("double"), F.col("_cmax").cast("double")
+    all_yates = g(r1 * c1 / n) + g(r1 * c2 / n) + g(r2 * c1 / n) + g(r2 * c2 / n)
+    empty = F.when(dof == 1, all_yates - F.coalesce(F.col("_nzy"), F.lit(0.0))).otherwise(n - F.col("_nze"))
+    empty = F.when(F.col("_cells") == F.col("_r") * F.col("_k"), F.lit(0.0)).otherwise(empty)
+    chi2 = F.when(dof == 0, F.lit(0.0)).otherwise(F.col("_nz") + empty)
+    j = nz.crossJoin(margins)
     phi2c = F.greatest(F.lit(0.0), F.col("chi_square") / n - (F.col("_k") - 1) * (F.col("_r") - 1) / (n - 1.0))
     rc = F.col("_r") - (F.col("_r") - 1) * (F.col("_r") - 1) / (n - 1.0)
     kc = F.col("_k") - (F.col("_k") - 1) * (F.col("_k") - 1) / (n - 1.0)
     den = F.least(kc - 1.0, rc - 1.0)
-    out = g.select(F.lit(f"{a} x {b}").alias("variables"), chi2.alias("chi_square"),
-                   F.col("dof").cast("long").alias("degrees_of_freedom"), "_tot", "_r", "_k",
-                   F.col("min_e").alias("minimum_expected_count"))
+    out = j.select(F.lit(f"{a} x {b}").alias("variables"), chi2.alias("chi_square"),
+                   dof.cast("long").alias("degrees_of_freedom"), "_tot", "_r", "_k",
+                   (r1 * c1 / n).alias("minimum_expected_count"))
     return out.select("variables", "chi_square", "degrees_of_freedom",
                       F.when(F.col("degrees_of_freedom") == 0, F.lit(1.0))
                        .otherwise(chi2_sf(F.col("chi_square"), F.col("degrees_of_freedom"))).alias("p_value"),

@@ -441,7 +441,9 @@ FROM (SELECT DISTINCT a FROM cells) ra CROSS JOIN (SELECT DISTINCT b FROM cells)
 LEFT JOIN cells c ON c.a = ra.a AND c.b = cb.b"""
 
 
-@register("contingency_table", with_clean(_CONT.format(a="location", b="payment_method", src="clean")))
+@register("contingency_table", with_clean(
+    "SELECT location AS a, payment_method AS b, COUNT(*) AS n FROM clean "
+    "WHERE location IS NOT NULL AND payment_method IS NOT NULL GROUP BY 1, 2"))
 def q_contingency_table(spark, sf_dir):
     return R.contingency(cleaned(spark, sf_dir), "location", "payment_method")
 

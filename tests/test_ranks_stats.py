@@ -126,3 +126,21 @@ def test_fdr_bh_matches_numpy_with_ties(spark):
     small = S.fdr_bh_small(df.withColumn("test_no", F.monotonically_increasing_id())).collect()
     for r in small:
         assert math.isclose(r["fdr_p_value"], got[r["p_value"]], rel_tol=1e-12, abs_tol=1e-15)
+
+
+def _chi_brute(obs):
+    obs = np.asarray(obs, dtype=float)
+    e = obs.sum(1)[:, None] * obs.sum(0)[None, :] / obs.sum()
+    dof = (obs.shape[0] - 1) * (obs.shape[1] - 1)
+    if dof == 1:
+        obs = obs + np.minimum(0.5, np.abs(e - obs)) * np.sign(e - obs)
+    return ((obs - e) ** 2 / e).sum(), e.min()
+
+
+@pytest.mark.parametrize("table", [[[0, 5], [7, 3]], [[4, 0, 2], [0, 6, 1], [3, 3, 0]], [[1, 0], [0, 1]]])
+def test_chi_square_with_empty_cells(spark, table):
+    rows = [(f"r{i}", f"c{j}") for i, row in enumerate(table) for j, n in enumerate(row) for _ in range(n)]
+    r = S.chi_square(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
+    chi2, emin = _chi_brute(table)
+    assert math.isclose(r["chi_square"], chi2, rel_tol=1e-12, abs_tol=1e-12)
+    assert math.isclose(r["minimum_expected_count"], emin, rel_tol=1e-12)
