@@ -107,9 +107,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int =
     buckets_tbl = cum.select(*by, "_b", "_off", "_bt").distinct()
     n = buckets_tbl.groupBy(*by).agg(F.sum("_bt").alias("_n"))
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    ps = (df.sparkSession.range(len(probs))
-            .select(F.col("id").cast("int").alias("pi"), F.element_at(plist, F.col("id").cast("int") + 1).alias("p")))
-    pos = (n.crossJoin(F.broadcast(ps)).where(F.col("_n") > 0)
+    pos = (n.where(F.col("_n") > 0).select(*by, "_n", F.posexplode(plist).alias("pi", "p"))
              .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
              .withColumn("_lo", F.floor("_h").cast("long"))
              .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
@@ -117,8 +115,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int =
 
     def value_at(k: str, name: str) -> DataFrame:
         in_bucket = (F.col(k) >= F.col("_off")) & (F.col(k) < F.col("_off") + F.col("_bt"))
+        # Theta join of the position rows (groups x probabilities) with the
+        # per-group bucket ranges; without groups both sides are tiny.
         where = pos.join(buckets_tbl, by, "inner").where(in_bucket).select(*by, "pi", "_b", k) if by else \
-            pos.crossJoin(buckets_tbl).where(in_bucket).select("pi", "_b", k)
+            buckets_tbl.join(F.broadcast(pos), in_bucket).select("pi", "_b", k)
         hit = (F.col(k) >= F.col("below")) & (F.col(k) < F.col("below") + F.col("t"))
         return (cum.join(where, [*by, "_b"]).where(hit)
                    .select(*by, "pi", F.col("v").cast("double").alias(name)))

@@ -294,16 +294,17 @@ def q_time_series_folds(spark, sf_dir):
     mf = MD.model_frame(cleaned(spark, sf_dir))
     train, _ = MD.chronological_split(mf)
     n = train.count()
-    spec = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(MD.fold_ranges(n))],
-                                 "fold long, train_end_idx long, v0 long, v1 long")
-    j = train.select("idx", "transaction_date").crossJoin(F.broadcast(spec))
-    return j.groupBy("fold").agg(
-        F.first("v0").alias("train_rows"), (F.first("v1") - F.first("v0")).alias("validation_rows"),
-        F.max(F.when(F.col("idx") < F.col("v0"), F.col("transaction_date"))).alias("train_end"),
-        F.min(F.when((F.col("idx") >= F.col("v0")) & (F.col("idx") < F.col("v1")), F.col("transaction_date")))
-         .alias("validation_start"),
-        F.max(F.when((F.col("idx") >= F.col("v0")) & (F.col("idx") < F.col("v1")), F.col("transaction_date")))
-         .alias("validation_end"))
+    aggs = []
+    for i, (tr_end, v0, v1) in enumerate(MD.fold_ranges(n)):
+        val = (F.col("idx") >= v0) & (F.col("idx") < v1)
+        aggs += [F.max(F.when(F.col("idx") < tr_end, F.col("transaction_date"))).alias(f"te{i}"),
+                 F.min(F.when(val, F.col("transaction_date"))).alias(f"vs{i}"),
+                 F.max(F.when(val, F.col("transaction_date"))).alias(f"ve{i}")]
+    one = train.agg(*aggs)
+    rows = ", ".join(f"{i}L, {tr}L, {v1 - v0}L, te{i}, vs{i}, ve{i}"
+                     for i, (tr, v0, v1) in enumerate(MD.fold_ranges(n)))
+    return one.selectExpr(f"stack(3, {rows}) AS (fold, train_rows, validation_rows, train_end, "
+                          "validation_start, validation_end)")
 
 
 @register("baseline_metrics", _clean_then(f"""

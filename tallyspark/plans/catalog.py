@@ -448,6 +448,20 @@ def q_contingency_table(spark, sf_dir):
     return R.contingency(cleaned(spark, sf_dir), "location", "payment_method")
 
 
+# Spark SQL text versions of the five reports (temp view ``retail_sales``); same oracles.
+def _sql_text_query(name):
+    def q(spark, sf_dir):
+        from tallyspark.plans.sql_reports import run_sql_report
+        return run_sql_report(spark, cleaned(spark, sf_dir), name)
+    return q
+
+
+for _name, _key in [("monthly_channel", "sql_monthly_channel"), ("top_products", "top_products"),
+                    ("missing_rate_by_category", "missing_rate_by_category"),
+                    ("customer_summary", "customer_summary"), ("month_over_month", "month_over_month")]:
+    register(f"sqltext_{_name}", _SQL[_key])(_sql_text_query(_name))
+
+
 # ----------------------------------------------------------------- quality ---
 
 _NC = ", ".join(f"{CNT(c + ' IS NULL')} AS {c}" for c in

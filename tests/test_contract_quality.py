@@ -69,3 +69,18 @@ def test_transformation_counts(spark, raw_df):
     tc = {r["rule"]: r["n"] for r in C.transformation_counts(None, C.clean(raw_df(rows), keep_internal=True)).collect()}
     assert tc["rows"] == 5 and tc["price_derived"] == 1 and tc["discount_unexpected"] == 1
     assert tc["discount_missing"] == 1 and tc["invalid_quantity"] == 1 and tc["discount_unknown"] == 2
+
+
+def test_run_all_pipeline(spark, raw_df, tmp_path):
+    import os
+
+    from tallyspark.plans.pipeline import run_all
+    rows = [(f"t{i}", f"CUST_{i % 5}", f"C{i % 3}", "" if i % 7 == 0 else f"I{i % 4}", f"{1 + i % 4}.5", str(1 + i % 3),
+             f"{(1 + i % 4 + 0.5) * (1 + i % 3)}", ["Cash", "Credit Card"][i % 2], ["Online", "In-store"][i % 2],
+             f"2024-{1 + i % 6:02d}-{1 + i % 27:02d}", ["True", "False", ""][i % 3]) for i in range(120)]
+    out = run_all(spark, raw_df(rows), str(tmp_path / "run"), reps=50, with_model=False)
+    assert spark.read.parquet(out).count() == 120
+    for sub in ["cleaning_log/transformations", "validation/checks", "reports/monthly_channel", "statistics/tests",
+                "statistics/cluster_bootstrap", "dashboard/cube_json"]:
+        assert os.path.isdir(str(tmp_path / "run" / sub))
+    assert spark.read.json(str(tmp_path / "run" / "statistics/tests")).count() == 12
