@@ -82,8 +82,8 @@ def q_scan_clean(spark, sf_dir):
     return cleaned(spark, sf_dir)
 
 
-@register("clean_pipeline", with_clean("SELECT * FROM clean"))
-def q_clean_pipeline(spark, sf_dir):
+@register("clean_from_raw", with_clean("SELECT * FROM clean"))
+def q_clean_from_raw(spark, sf_dir):
     """The full cleaning plan from the raw tables (not the written table); quantity type decided from the data."""
     return C.clean(retail_raw(spark, sf_dir))
 

@@ -1,4 +1,4 @@
-"""End-to-end run: raw table -> cleaned table -> every report, written under one folder.
+"""End-to-end run (run_all): raw table -> cleaned table -> every report, written under one folder.
 
 The counterpart of the reference's make targets (clean, validate, sql,
 statistics, model, dashboard). Each report is a DataFrame written with a

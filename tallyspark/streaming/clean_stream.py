@@ -31,8 +31,9 @@ def clean_stream(raw_stream: DataFrame, history_clean: DataFrame) -> DataFrame:
     """Clean a raw stream with the item map and IQR bounds of a cleaned history table.
 
     The map comes from history rows whose item and price were both recorded.
-    It is a stream-static join: the static side (one row per (category, price)
-    pair) is broadcast to every micro-batch.
+    It is a stream-static join; the planner broadcasts the static side (one
+    row per (category, price) pair) only when its estimated size is under the
+    broadcast threshold.
     """
     parsed = C.parse_raw(raw_stream)
     priced = C.derive_price(parsed)
@@ -40,7 +41,7 @@ def clean_stream(raw_stream: DataFrame, history_clean: DataFrame) -> DataFrame:
     mapping = C.item_map(recorded.select("category", "item", F.col("price_per_unit").alias("_price_recorded")))
     need = F.col("item").isNull() & F.col("category").isNotNull() & F.col("price_per_unit").isNotNull()
     looked = (priced.withColumn("_pkey", F.when(need, C.price_key(F.col("price_per_unit"))))
-                    .join(F.broadcast(mapping), ["category", "_pkey"], "left")
+                    .join(mapping, ["category", "_pkey"], "left")
                     .withColumn("item_imputed", F.when(need & F.col("_map_item").isNotNull(), "Yes").otherwise("No"))
                     .withColumn("item", F.coalesce(F.col("item"), F.when(need, F.col("_map_item"))))
                     .drop("_pkey", "_map_item"))

@@ -71,10 +71,10 @@ def test_transformation_counts(spark, raw_df):
     assert tc["discount_missing"] == 1 and tc["invalid_quantity"] == 1 and tc["discount_unknown"] == 2
 
 
-def test_run_all_pipeline(spark, raw_df, tmp_path):
+def test_run_all_writes_every_report(spark, raw_df, tmp_path):
     import os
 
-    from tallyspark.plans.pipeline import run_all
+    from tallyspark.plans.run import run_all
     rows = [(f"t{i}", f"CUST_{i % 5}", f"C{i % 3}", "" if i % 7 == 0 else f"I{i % 4}", f"{1 + i % 4}.5", str(1 + i % 3),
              f"{(1 + i % 4 + 0.5) * (1 + i % 3)}", ["Cash", "Credit Card"][i % 2], ["Online", "In-store"][i % 2],
              f"2024-{1 + i % 6:02d}-{1 + i % 27:02d}", ["True", "False", ""][i % 3]) for i in range(120)]
