@@ -38,6 +38,8 @@ def register(key: str, sql: str | None = None):
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.session import tune_session
+    tune_session(spark)
     return retail_raw(spark, sf_dir)
 
 
@@ -49,7 +51,9 @@ def cleaned(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> Da
     Quantity is kept as double (the whole-number cast only changes the type).
     """
     from tallyspark.plans.materialize import materialized
+    from tallyspark.session import tune_session
     from tallyspark.sources.adapter import TABLES
+    tune_session(spark)
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
     full = materialized(spark, "clean_internal", inputs,
                         lambda path: C.write_clean_table(retail_raw(spark, sf_dir), path, keep_internal=True,

@@ -33,6 +33,8 @@ def run_all(spark: SparkSession, raw: DataFrame, out_dir: str, *, reps: int = 20
     and month.
     """
     from tallyspark.plans.analytics import statistics_report
+    from tallyspark.session import tune_session
+    tune_session(spark)
     out = out_dir.rstrip("/")
     internal_path = f"{out}/clean_internal"
     C.write_clean_table(raw, internal_path, keep_internal=True, quantity_mode="auto")
