@@ -107,19 +107,18 @@ def kpi_period_over_period(cube: DataFrame, start: str, end: str, location: str
     pv = F.when(F.col("hp"), F.coalesce(F.col("_pv"), F.lit(0)).cast("long"))
     ca = F.when(F.col("cv") > 0, F.col("cs") / F.col("cv"))
     pa = F.when(pv > 0, ps / pv)
-    rows = []
+    metrics = []
     for name, c, p in (("sales", F.col("cs"), ps), ("valid", F.col("cv").cast("double"), pv.cast("double")),
                        ("average", ca, pa)):
         change, state = delta_state(c, p)
         if name == "average":
             state = F.when(F.col("cv") == 0, F.lit("no_valid_sales")).otherwise(state)
             change = F.when(F.col("cv") > 0, change)
-        rows.append(g.select(F.lit(name).alias("metric"), c.alias("current"), p.alias("previous"),
-                             change.alias("change"), state.alias("state")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        metrics.append(F.struct(F.lit(name).alias("metric"), c.cast("double").alias("current"),
+                                p.cast("double").alias("previous"), change.cast("double").alias("change"),
+                                state.alias("state")))
+    # One aggregate row -> three metric rows (no re-aggregation per metric).
+    return g.select(F.inline(F.array(*metrics)))
 
 
 def last_date_info(clean: DataFrame) -> DataFrame:

@@ -55,8 +55,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialized(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> DataFrame:
-    """Read ``name`` for these inputs from the shared folder, writing it first (``write(path)``) if absent."""
+    """Read ``name`` for these inputs from the shared folder, writing it first (``write(path)``) if absent.
+
+    The table is written to a unique temporary folder and renamed into place,
+    so concurrent builders never read a half-written table; if another
+    builder finished first, its table is used.
+    """
+    import uuid
     path = f"{checkpoint_dir(spark).rstrip('/')}/tallyspark/{name}-{input_signature(spark, inputs)}"
     if not exists(spark, path):
-        write(path)
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        write(tmp)
+        fs, target = _fs(spark, path)
+        _, source = _fs(spark, tmp)
+        if not fs.rename(source, target) and not exists(spark, path):
+            raise RuntimeError(f"could not publish {tmp} as {path}")
     return spark.read.parquet(path)
