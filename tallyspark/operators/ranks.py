@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = None  # None: one bucket per shuffle partition of the session
 
 
-def _partitions(spark, buckets: int | None) -> int:
-    return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ranged(df: DataFrame, order: list, buckets: int | None = None) -> DataFrame:
     """Range-partitioned, checkpointed copy of ``df`` with ``_p``, its ordered bucket id.
 
@@ -35,8 +31,10 @@ def ranged(df: DataFrame, order: list, buckets: int | None = None) -> DataFrame:
     from tallyspark.session import checkpoint_dir
     spark = df.sparkSession
     checkpoint_dir(spark)
-    return (df.repartitionByRange(_partitions(spark, buckets), *order).checkpoint()
-              .withColumn("_p", F.spark_partition_id()))
+    # Without an explicit count AQE sizes the buckets from the data (advisory
+    # partition size), so a small table gets few buckets and a large one many.
+    parts = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    return parts.checkpoint().withColumn("_p", F.spark_partition_id())
 
 
 def with_bucket(df: DataFrame, col: str, buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
