@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.calendar import month_key
 from tallyspark.functions.numeric import safe_ratio
 
 
@@ -254,5 +253,3 @@ def dimension_values(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values of a dimension."""
     return df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["month_key"]

@@ -9,7 +9,6 @@ from tallyspark.operators import ranks as RK
 from tallyspark.operators import resample as RS
 from tallyspark.operators import stats as ST
 from tallyspark.plans.catalog import cleaned, register
-from tallyspark.plans.sqltext import with_clean
 
 DIGITS = 9  # statistics are compared at 9 decimals (engines sum doubles in different orders)
 
@@ -213,7 +212,6 @@ def q_cluster_bootstrap(spark, sf_dir):
 
 def statistics_report(df, reps: int = 2000, seed: int = 42):
     """The 12-test family with p-values and BH adjustment across it (H12); one row per test."""
-    from pyspark.sql import types as T  # noqa: F401
     parts = []
     no = 0
 
@@ -390,15 +388,18 @@ def q_select_alpha(spark, sf_dir):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    """Holdout scores of the selected Ridge, the training-median baseline and the
-    arithmetic identity price x quantity (a leakage oracle: it uses the target's components)."""
+    """Holdout scores of the selected Ridge, a random forest on the same features, the
+    training-median baseline and the arithmetic identity price x quantity (a leakage
+    oracle: it uses the target's components) (I12)."""
     r = _bench(spark, sf_dir)
     test_rows = (cleaned(spark, sf_dir).where(F.col("total_spent").isNotNull()
                                               & (F.col("transaction_date") >= MD.HOLDOUT_START))
                  .select(F.col("total_spent").alias("y"),
                          (F.col("price_per_unit") * F.col("quantity")).alias("prediction"))
                  .where(F.col("prediction").isNotNull()))
+    forest = MD.fit_forest(r["train"]).transform(r["test"]).select("y", "prediction")
     parts = [r["holdout"].withColumn("model", F.lit(f"ridge alpha={r['alpha']}")),
+             MD.regression_metrics(forest).withColumn("model", F.lit("random forest (50 trees, depth 10)")),
              r["baseline"].withColumn("model", F.lit("training median")),
              MD.regression_metrics(test_rows).withColumn("model", F.lit("price x quantity (leaks target)"))]
     out = parts[0]

@@ -438,13 +438,6 @@ def q_channel_mean_difference(spark, sf_dir):
     return R.channel_mean_difference(cleaned(spark, sf_dir))
 
 
-_CONT = """
-WITH cells AS (SELECT {a} AS a, {b} AS b, COUNT(*) AS n FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)
-SELECT ra.a, cb.b, coalesce(c.n, 0) AS n
-FROM (SELECT DISTINCT a FROM cells) ra CROSS JOIN (SELECT DISTINCT b FROM cells) cb
-LEFT JOIN cells c ON c.a = ra.a AND c.b = cb.b"""
-
-
 @register("contingency_table", with_clean(
     "SELECT location AS a, payment_method AS b, COUNT(*) AS n FROM clean "
     "WHERE location IS NOT NULL AND payment_method IS NOT NULL GROUP BY 1, 2"))

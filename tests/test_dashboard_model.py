@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import model as M

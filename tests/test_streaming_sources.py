@@ -1,7 +1,6 @@
 """Streaming cleaning + cube on a file stream; raw CSV source contract; fingerprints."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyspark.operators import cleaning as C
 from tallyspark.operators import dashboard as D
