@@ -55,6 +55,9 @@ def cleaned(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> Da
     from tallyspark.sources.adapter import TABLES
     tune_session(spark)
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
+    if getattr(spark, "_jvm", None) is None:  # Spark Connect: no file-system gateway, plan lazily
+        full = C.clean(retail_raw(spark, sf_dir), keep_internal=True, quantity_mode=False)
+        return full if keep_internal else full.select(*C.CLEAN_COLUMNS)
     full = materialized(spark, "clean_internal", inputs,
                         lambda path: C.write_clean_table(retail_raw(spark, sf_dir), path, keep_internal=True,
                                                          quantity_mode=False))
