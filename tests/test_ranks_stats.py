@@ -144,3 +144,33 @@ def test_chi_square_with_empty_cells(spark, table):
     chi2, emin = _chi_brute(table)
     assert math.isclose(r["chi_square"], chi2, rel_tol=1e-12, abs_tol=1e-12)
     assert math.isclose(r["minimum_expected_count"], emin, rel_tol=1e-12)
+
+
+def test_rank_desc_and_running_total(spark):
+    rnd = random.Random(2)
+    rows = [(f"i{k:03d}", float(rnd.randint(0, 9))) for k in range(200)]
+    df = spark.createDataFrame(rows, "item string, u double")
+    got = {r["item"]: r["rank_u"] for r in R.rank_desc(df, "u").collect()}
+    for item, u in rows:
+        assert got[item] == 1 + sum(1 for _, v in rows if v > u)
+    rt = R.running_total(df, [F.col("u").desc(), F.col("item").asc()], "u", partitions=5).orderBy("idx").collect()
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [r["item"] for r in rt] == [r[0] for r in ordered]
+    assert [r["running"] for r in rt] == list(np.cumsum([r[1] for r in ordered]))
+
+
+def test_materialized_builds_once(spark, tmp_path):
+    from tallyspark.plans.materialize import materialized
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(5).write.parquet(path)
+    src = str(tmp_path / "src")
+    spark.range(3).write.parquet(src)
+    assert materialized(spark, "unit-once", [src], write).count() == 5
+    assert materialized(spark, "unit-once", [src], write).count() == 5
+    assert len(calls) == 1
+    spark.range(4).write.mode("overwrite").parquet(src)  # changed input -> rebuilt
+    materialized(spark, "unit-once", [src], write)
+    assert len(calls) == 2
