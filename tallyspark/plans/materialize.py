@@ -66,8 +66,11 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], write: Calla
     if not exists(spark, path):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         write(tmp)
-        fs, target = _fs(spark, path)
-        _, source = _fs(spark, tmp)
-        if not fs.rename(source, target) and not exists(spark, path):
-            raise RuntimeError(f"could not publish {tmp} as {path}")
+        # A directory rename onto an existing directory would nest the source
+        # inside it, so publish only if no other builder has finished first.
+        if not exists(spark, path):
+            fs, target = _fs(spark, path)
+            _, source = _fs(spark, tmp)
+            if not fs.rename(source, target) and not exists(spark, path):
+                raise RuntimeError(f"could not publish {tmp} as {path}")
     return spark.read.parquet(path)
