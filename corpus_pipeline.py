@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, quality, sharding
+from tallyspark.llm import decontamination, jaccard_join, mixing, quality, sharding
 from tallyspark.llm.queries import table
-from tallyspark.llm.text import shared_folder
+from tallyspark.llm.text import saved, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,6 +20,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, rules).where("kept").select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates stays (one row of it, if it is repeated)."""
+    groups = jaccard_join.near_duplicates(docs)
+    gone = groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    # Rows that agree in doc_id and text are one document (blank texts are in no group and all stay).
+    repeats = saved(groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id")))
+    if repeats.isEmpty():
+        return stay
+    same = stay["doc_id"].eqNullSafe(F.col("__id"))
+    return stay.join(repeats, same, "left_anti").unionByName(stay.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     return mixing.repeated(mixing.mix(docs), docs.columns)
@@ -31,6 +50,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

@@ -8,22 +8,23 @@ l_y share at least min(l_x, l_y) prefix tokens. Each document chooses its own l:
 more candidates its prefix is estimated to meet (sum of the token frequencies), the
 longer the prefix and the more matches are asked for before a pair is verified.
 
-1. One pass counts how often tokens occur in the plain prefixes; the frequent ones
-   (a list of bounded size) give the order. Any list gives right results, a better
-   one fewer candidates.
-2. A second pass writes the prefix index (token, set, size, l, position). Documents
-   with equal sets are one entry; tokens of a single entry are dropped.
-3. Star rounds: in each token's group every member is paired with one leader of the
+1. One pass makes the sets and writes the smallest hashes of each. How often tokens
+   occur in the plain prefixes gives the frequent ones, a list of bounded size, and so
+   the order. Any list gives right results, a better one fewer candidates.
+2. The prefix index (token, set, size, l, position) comes from the written hashes; only
+   documents with too many frequent tokens among them are read again. Documents with
+   equal sets are one entry; tokens of a single entry are dropped.
+3. Star round: in each token's group every member is paired with one leader of the
    group only. Verified links merge classes, so a group of n near copies costs n
-   pairs a round, not n * n.
+   pairs, not n * n.
 4. What is left is enumerated in full: pairs in different classes that share at least
    min(l_x, l_y) prefix tokens and pass the length and position bounds. No link
    between classes is lost; pairs within a class are already connected.
 5. Components by large-star / small-star iterations over the links.
 
-Verification intersects whole token sets. They are made again from the texts for the
-documents that are in a candidate pair (a bitmap of fixed size tells which; a wrong
-hit costs only traffic).
+Verification rejects by an exact bound from the written hashes, then intersects whole
+token sets, made again from the texts of the documents that are left (a bitmap of fixed
+size tells which; a wrong hit costs only time).
 
 Defined cases. Fewer than five words: the whole sequence is the only shingle. Null,
 empty or blank text: no shingle, linked with nothing, component is its own doc_id.
@@ -39,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text import saved
+from tallyspark.llm.text import WORD_CLASS, delete_folder, saved, shared_folder
 
 WIDTH = 5
 MIN_PER_CENT = 80
 BASE_MATCHES, MAX_MATCHES = 2, 5
 COST_STEPS = (64, 512, 4096)  # estimated candidates beyond which one more match is asked for
 MAP_BITS = 26
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 _MIX1, _MIX2, _MUL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,35 +104,34 @@ def _long(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, n, set): size and id of each row's token set."""
+    """(doc_id, n, set, low): size and id of each row's token set, and its tokens with the smallest hashes.
+
+    ``low`` holds enough of them for the prefix in the order of the hashes, and some more in place of frequent tokens."""
     def run(batches):
         tokens = Tokens()
         for b in batches:
             sets = [tokens(t) for t in _texts(b, 1)]
+            low = [s[:prefix_length(len(s), MAX_MATCHES) + len(s) // 10 + 8].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "set"])
+                                              pa.array([set_id(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], ["doc_id", "n", "set", "low"])
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, set long")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, set long, low binary")
+
+
+def prefix_length(n: int, l: int) -> int:
+    return n - least_overlap(n) + l
 
 
-def plain_prefixes(docs: DataFrame, text: str) -> DataFrame:
-    """The tokens of each row's prefix in the order of the hashes alone."""
+def frequent_tokens(sets: DataFrame, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens and their frequency class (log2 of the count in the plain prefixes): the most frequent classes
+    that hold at most ``max_frequent`` tokens, which bounds what reaches the driver and is broadcast."""
     def run(batches):
-        tokens = Tokens()
         for b in batches:
-            parts = []
-            for t in _texts(b, 0):
-                s = tokens(t)
-                parts.append(s[:len(s) - least_overlap(len(s)) + BASE_MATCHES])
+            parts = [np.frombuffer(x, dtype=np.int64)[:prefix_length(n, BASE_MATCHES)] for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(_long(parts))], ["token"])
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long")
-
 
-def frequent_tokens(docs: DataFrame, text: str, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens and their frequency class (log2 of the count): the most frequent classes that hold at most ``max_frequent``."""
-    counts = (plain_prefixes(docs, text).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-              .where("c >= 4").withColumn("k", F.floor(F.log2("c")).cast("int")))
-    counts = saved(counts)
+    counts = saved(sets.select("n", "low").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+                   .where("c >= 4").withColumn("k", F.floor(F.log2("c")).cast("int")))
     sizes = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     least, held = 64, 0
     for k in sorted(sizes, reverse=True):
@@ -144,88 +144,150 @@ def frequent_tokens(docs: DataFrame, text: str, max_frequent: int) -> tuple[np.n
     return tokens[order].astype(np.int64), classes[order].astype(np.int64)
 
 
-def prefix_index(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, set, n, l, pos) of each row's adaptive prefix."""
+def adaptive_prefix(s: np.ndarray, n: int, known: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """The prefix of a set of ``n`` tokens and its l, from its tokens with the smallest hashes; None if those do not settle it."""
+    k = np.zeros(len(s), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        k = np.where(known[at] == s, classes[at], 0)
+    order = np.argsort(k, kind="stable")  # equal classes stay in the order of the hashes
+    least = least_overlap(n)
+    if len(s) < n and int((k == 0).sum()) < n - least + BASE_MATCHES:
+        return None
+    cost = int(((1 << k[order[:n - least + BASE_MATCHES]]) - 1).sum())
+    l = min(least, MAX_MATCHES, BASE_MATCHES + sum(cost > c for c in COST_STEPS))
+    m = n - least + l
+    if len(s) < n and int((k == 0).sum()) < m:
+        return None
+    return s[order[:m]], l
+
+
+INDEX = "token long, set long, n int, l int, pos int"
+
+
+def _entries(found: list[tuple[int, int, np.ndarray, int]]) -> pa.RecordBatch:
+    columns = (_long([p for _, _, p, _ in found]), _long([np.full(len(p), i, dtype=np.int64) for i, _, p, _ in found]),
+               *(_long([np.full(len(x[2]), x[c], dtype=np.int64) for x in found]).astype(np.int32) for c in (1, 3)),
+               _long([np.arange(len(p), dtype=np.int64) for _, _, p, _ in found]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "n", "l", "pos"])
+
+
+def prefix_index(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, set, n, l, pos) of each set's adaptive prefix, for tokens that several sets have."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches):
-        tokens = Tokens()
+    def from_low(batches):
         known, classes = shared.value
         for b in batches:
-            token, ident, n, ell, pos = [], [], [], [], []
+            found = []
+            for n, i, low in zip(*(b.column(c).to_pylist() for c in range(3))):
+                prefix = adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, known, classes) if n else None
+                if prefix:
+                    found.append((i, n, *prefix))
+            yield _entries(found)
+
+    def unsettled(batches):
+        known, classes = shared.value
+        for b in batches:
+            keep = [n > 0 and adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, known, classes) is None
+                    for n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(2)], ["key"]).filter(pa.array(keep, pa.bool_()))
+
+    def from_text(batches):
+        known, classes = shared.value
+        tokens = Tokens()
+        for b in batches:
+            found = []
             for t in _texts(b, 0):
                 s = tokens(t)
-                if not len(s):
-                    continue
-                k = np.zeros(len(s), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    k = np.where(known[at] == s, classes[at], 0)
-                order = np.argsort(k, kind="stable")  # equal classes stay in the order of the hashes
-                least = least_overlap(len(s))
-                cost = int(((1 << k[order[:len(s) - least + BASE_MATCHES]]) - 1).sum())
-                l = min(least, MAX_MATCHES, BASE_MATCHES + sum(cost > c for c in COST_STEPS))
-                m = len(s) - least + l
-                token.append(s[order[:m]])
-                pos.append(np.arange(m, dtype=np.int64))
-                for to, v in ((ident, set_id(s)), (n, len(s)), (ell, l)):
-                    to.append(np.full(m, v, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_long(x)) for x in (token, ident, n, ell, pos)], ["token", "set", "n", "l", "pos"])
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, set long, n long, l long, pos long")
+                found.append((set_id(s), len(s), *adaptive_prefix(s, len(s), known, classes)))
+            yield _entries(found)
+
+    more = sets.select("n", "low", row_key("doc_id").alias("key")).mapInArrow(unsettled, "key long")
+    rows = sets.select("n", "set", "low").mapInArrow(from_low, INDEX).union(
+        marked(docs, text, doc_id, bitmap_of(more)).mapInArrow(from_text, INDEX))
     # One exchange by token serves the removal of copies, the count and the groups.
-    one = (rows.select("token", "set", *[F.col(c).cast("int").alias(c) for c in ("n", "l", "pos")])
-           .repartition(F.col("token")).dropDuplicates(["token", "set"]))
+    one = rows.repartition(F.col("token")).dropDuplicates(["token", "set"])
     return one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
 
 
-def bitmap_of(sets: DataFrame) -> np.ndarray:
-    """A bitmap of 2**MAP_BITS bits with a bit for each id (column ``set``); its size does not depend on the input."""
-    slot = F.col("set").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    words = (sets.select(F.shiftright(slot, 3).cast("int").alias("w"), F.expr("shiftleft(1, cast(`set` & 7 as int))").alias("b"))
+def row_key(doc_id):
+    return F.xxhash64(F.col(doc_id))
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2**MAP_BITS bits with a bit for each ``key``; its size does not depend on the input."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words = (keys.select(F.shiftright(slot, 3).cast("int").alias("w"), F.expr("shiftleft(1, cast(key & 7 as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint8)
     return out
 
 
-def token_sets(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(set, tokens): the sorted tokens as bytes, for the sets that ``wanted`` has a bit for."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def marked(docs: DataFrame, text: str, doc_id: str, bits: np.ndarray) -> DataFrame:
+    """(text) of the non-blank rows whose doc_id has a bit (and of a few others, as the bitmap is hashed)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        tokens, bits = Tokens(), shared.value
         for b in batches:
-            ids, blobs = [], []
-            for t in _texts(b, 0):
-                s = tokens(t)
-                i = set_id(s)
-                slot = i & ((1 << MAP_BITS) - 1)
-                if len(s) and bits[slot >> 3] >> (slot & 7) & 1:
-                    ids.append(i)
-                    blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["set", "tokens"])
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
+            slot = b.column(1).to_numpy() & ((1 << MAP_BITS) - 1)
+            hit = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["text"]).filter(pa.array(hit.astype(bool)))
 
+    return (docs.where(F.col(text).rlike(WORD_CLASS)).select(F.col(text).alias("text"), row_key(doc_id).alias("key"))
+            .mapInArrow(run, "text string"))
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of sets that are linked."""
-    pairs = saved(pairs)
-    sets = token_sets(docs, text, bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("set"))))
 
+def token_sets(docs: DataFrame, text: str, doc_id: str, wanted: np.ndarray) -> DataFrame:
+    """(set, tokens): the sorted tokens as bytes, for the rows that ``wanted`` has a bit for."""
     def run(batches):
+        tokens = Tokens()
+        for b in batches:
+            found = [tokens(t) for t in _texts(b, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()),
+                                              pa.array([s.tobytes() for s in found], pa.binary())], ["set", "tokens"])
+    return marked(docs, text, doc_id, wanted).mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
+
+
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    if len(p) > len(q):
+        p, q = q, p
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
+
+
+def may_link(low_x: bytes, nx: int, low_y: bytes, ny: int) -> bool:
+    """An exact upper bound from the smallest hashes: up to the smaller of the two largest ones both lists are complete."""
+    p, q = np.frombuffer(low_x, dtype=np.int64), np.frombuffer(low_y, dtype=np.int64)
+    top = min(p[-1] if len(p) < nx else np.iinfo(np.int64).max, q[-1] if len(q) < ny else np.iinfo(np.int64).max)
+    p, q = p[:np.searchsorted(p, top, side="right")], q[:np.searchsorted(q, top, side="right")]
+    return overlap(p, q) + min(nx - len(p), ny - len(q)) >= needed(nx, ny)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The pairs (a, b) of sets that are linked: first by the bound, then by whole sets made again from the texts."""
+    def bound(batches):
+        for b in batches:
+            keep = [may_link(*r) for r in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                keep.append(bool((q[at] == p).sum() >= needed(len(p), len(q))))
+                keep.append(overlap(p, q) >= needed(len(p), len(q)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = first.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a")
-    return saved(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    one = sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("low").alias("low"))
+    side = lambda c: one.select(F.col("set").alias(c), F.col("low").alias(f"low_{c}"), F.col("n").alias(f"n_{c}"))
+    left = saved(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "low_a", "n_a", "low_b", "n_b").mapInArrow(bound, "a long, b long"))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    rows = sets.join(wanted, "set").groupBy("set").agg(F.min(row_key("doc_id")).alias("key"))
+    whole = saved(token_sets(docs, text, doc_id, bitmap_of(rows)).join(wanted, "set"))
+    first = left.join(whole.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = first.join(whole.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a")
+    return saved(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
 def components(links: DataFrame, limit: int = 100) -> DataFrame:
@@ -270,9 +332,9 @@ def could_link(a: str, b: str):
     return (100 * na >= MIN_PER_CENT * nb) & (100 * nb >= MIN_PER_CENT * na) & (rest >= need)
 
 
-def similar_classes(docs: DataFrame, text: str, max_frequent: int = 1_000_000) -> DataFrame:
+def similar_classes(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, max_frequent: int = 1_000_000) -> DataFrame:
     """(set, class) of every set that is linked with another one."""
-    index = saved(prefix_index(docs, text, frequent_tokens(docs, text, max_frequent)))
+    index = saved(prefix_index(docs, sets, text, doc_id, frequent_tokens(sets, max_frequent)))
     links, classes = None, None
     for r in range(STAR_ROUNDS):
         at = with_class(index, classes)
@@ -282,9 +344,9 @@ def similar_classes(docs: DataFrame, text: str, max_frequent: int = 1_000_000) -
                  .groupBy(F.col("lead.set").alias("a"), F.col("set").alias("b"))
                  .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "lead.l")).alias("l"))
                  .where("shared >= l").select("a", "b"))
-        found = verified(pairs, docs, text)
+        found = verified(pairs, docs, sets, text, doc_id)
         links = found if links is None else links.union(found)
-        classes = saved(components(links))
+        classes = components(links)
     at = saved(with_class(index, classes))
     open_groups = at.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("token")
     at = saved(at.join(open_groups, "token"))
@@ -293,15 +355,18 @@ def similar_classes(docs: DataFrame, text: str, max_frequent: int = 1_000_000) -
              .groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
              .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.l", "y.l")).alias("l"))
              .where("shared >= l").select("a", "b"))
-    return saved(components(links.union(verified(pairs, docs, text))))
+    return components(links.union(verified(pairs, docs, sets, text, doc_id)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
-    sets = saved(document_sets(docs, text, doc_id))
-    classes = similar_classes(docs, text)
-    at = saved(sets.join(classes, "set", "left").withColumn("class", F.coalesce("class", "set")))
-    # A set id has its size in the hash; the empty set is nobody's partner.
+    path = shared_folder(docs.sparkSession, "sets")
+    document_sets(docs, text, doc_id).write.parquet(path)
+    sets = docs.sparkSession.read.parquet(path)
+    classes = similar_classes(docs, sets, text, doc_id)
+    at = saved(sets.select("doc_id", "n", "set").join(classes, "set", "left").withColumn("class", F.coalesce("class", "set")))
+    delete_folder(docs.sparkSession, path)
+    # The empty set is nobody's partner.
     least = at.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     return (at.join(least, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import jaccard_join, line_dedup, mixing, quality, sharding
+from tallyspark.llm import decontamination, jaccard_join, line_dedup, mixing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return d.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                    pii.spans_text(F.concat("base", "added")).alias("spans"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_pii": op4_pii,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 MIX_SQL = r"""
