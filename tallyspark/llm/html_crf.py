@@ -259,6 +259,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
         return " ".join(word() + mark for _ in range(rng.randint(a, b))).capitalize() + f" {next(serial)}" + rng.choice(".,.!")
 
     def prose() -> str:
+        if rng.random() < 0.12:  # a paragraph of one word that no other block has
+            return (word() + "".join(syllables[int(d)] for d in str(next(serial)))).capitalize() + rng.choice(["", "."])
         return " ".join(sentence(2, 16) for _ in range(rng.choice([1, 1, 2, 3, 6])))
 
     pages = []

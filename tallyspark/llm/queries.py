@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontamination, jaccard_join, line_dedup, mixing, pii, quality, sharding
+from tallyspark.llm import decontamination, html_crf, jaccard_join, line_dedup, mixing, pii, quality, revisits, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,25 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pii.spans_text(F.concat("base", "added")).alias("spans"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = revisits.resolve_revisits(revisits.records_of(table(spark, sf_dir, "pages")))
+    header = lambda k: F.element_at("headers", F.lit(k)).alias(k.replace("-", "_"))
+    return d.select("record_id", "url_key", "ts", "response_id", "response_ts", "outcome", header("content-type"), header("content-length"),
+                    header("server"), header("cache-control"), header("date"), "digest")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html_crf.extract(table(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    d = token_counts.count_with_edits(docs, token_counts.sample_edits(docs))
+    return d.select("doc_id", "n_before", "n_tokens", "n_reencoded", F.size("sizes").cast("long").alias("n_leaves"),
+                    F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -56,8 +75,11 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_pii": op4_pii,
+    "op5_revisits": op5_revisits,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -117,7 +139,36 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+REVISIT_SQL = r"""
+WITH p AS (
+  SELECT page_id AS i, md5(coalesce(html, '')) AS digest, length(html) AS n, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')), '&') AS query
+  FROM pages),
+k AS (
+  SELECT *, 'http://' || regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www[.]', '') || path
+            || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key
+  FROM p),
+c AS (SELECT url_key, i * 10 AS c_ts, i * 2 AS c_id, tag AS c_tag, digest AS c_digest, n, i % 3 AS server FROM k),
+v AS (
+  SELECT url_key, i * 2 + 1 AS record_id, CASE WHEN i % 11 = 0 THEN i * 10 - 5 ELSE i * 10 + 3 END AS ts,
+         CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN '"none"' ELSE tag END AS tag, digest, (i * 10 + 3)::VARCHAR AS date
+  FROM k),
+j AS (
+  SELECT v.*, c.* EXCLUDE (url_key),
+         CASE WHEN c_id IS NULL THEN 'no_capture' WHEN tag IS NOT NULL THEN CASE WHEN tag = c_tag THEN 'resolved' ELSE 'changed' END
+              WHEN digest = c_digest THEN 'resolved' ELSE 'changed' END AS outcome
+  FROM v ASOF LEFT JOIN c ON v.url_key = c.url_key AND v.ts > c.c_ts)
+SELECT record_id, url_key, ts, c_id AS response_id, c_ts AS response_ts, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN outcome = 'resolved' THEN n::VARCHAR END AS content_length,
+       CASE WHEN outcome = 'resolved' THEN 's' || server END AS server, CASE WHEN outcome = 'resolved' THEN 'max-age=600' END AS cache_control,
+       CASE WHEN outcome = 'resolved' THEN date END AS date, CASE WHEN outcome = 'resolved' THEN c_digest END AS digest
+FROM j
+"""
+
 ORACLES = {
+    "op5_revisits": REVISIT_SQL,
     "op2_mixing": MIX_SQL,
     "op6_line_dedup": LINES_SQL,
 }
