@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units in a text become typed placeholders, other words lose case
+Numbers, names and units (after a number) in a text become typed placeholders, other words lose case
 and punctuation. Windows of ``width`` canonical words (one word less than a shorter item)
 of the benchmark are hash-joined with those of the documents; matches on one
 alignment (document, item, offset) are gathered, and the values behind the
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.quality import let
-from tallyspark.llm.text import saved, words
+from tallyspark.llm.text import once, saved, words
 
 WIDTH = 8
 MIN_WORDS = 13
 MIN_ITEM_WORDS = 5
 MAX_BROADCAST_WINDOWS = 1_000_000  # of about 40 bytes each
-NUMBER, NAME, UNIT, PUNCTUATION = "\u0001", "\u0002", "\u0003", "\u0004"
+NUMBER, NAME, UNIT, PUNCTUATION, LONE = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 # Unit words that become a placeholder.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
          "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
@@ -40,16 +40,18 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
 
 
 def canonical(text: Column) -> Column:
-    """The text with placeholders for numbers, names and units; as many words as before."""
+    """The text with placeholders for numbers, names and units; as many words as before.
+
+    Each expression begins with a character that is rare or cheap to test; lookbehinds come after it.
+    """
     word = r"[^\x20\x09-\x0D]"
-    start, end = rf"(?<!{word})", rf"(?!{word})"
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{start}[^0-9\x20\x09-\x0D]*+[0-9]{word}*+", NUMBER)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER)
     # A capitalised word inside a sentence: the word before it does not end one.
-    t = F.regexp_replace(t, r"(?<=[^\x20\x09-\x0D.!?:;\x22)\u0004]\x20)\p{Lu}\p{Ll}[^\x20\x09-\x0D]*+", NAME)
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D\u0001\u0002\u0003]++", PUNCTUATION)
-    t = F.regexp_replace(t, rf"{start}\u0004{end}", "\u0005")
-    t = F.lower(F.translate(t, PUNCTUATION, ""))
-    return F.regexp_replace(t, rf"{start}(?:{'|'.join(UNITS)}){end}", UNIT)
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:;\x22)]\x20\p{{Lu}})\p{{Ll}}{word}*+", NAME)
+    t = F.regexp_replace(t, r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]++", PUNCTUATION)
+    t = F.regexp_replace(t, rf"\u0004(?<!{word}\u0004)(?!{word})", LONE)
+    t = F.lower(F.replace(t, F.lit(PUNCTUATION), F.lit("")))
+    return F.regexp_replace(t, rf"\u0001\x20(?:{'|'.join(UNITS)})(?!{word})", NUMBER + " " + UNIT)
 
 
 def window_hashes(w: Column, width: Column | int) -> Column:
@@ -70,7 +72,7 @@ def placed_hashes(w: Column, width: int) -> Column:
 
 
 def is_slot(w: Column) -> Column:
-    return w.isin(NUMBER, NAME, UNIT)
+    return w.rlike("[\u0001-\u0003]")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
         hashes = let(words(canonical(F.col("text"))), lambda w: F.flatten(F.array(*[placed_hashes(w, k) for k in widths])))
     else:
         hashes = F.array().cast("array<struct<w:int,pos:int,h:bigint>>")
-    sent = base.select("key", F.explode(hashes).alias("x")).select("key", "x.*")
+    sent = base.select("key", once(hashes).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.*")
     small = windows.count() <= MAX_BROADCAST_WINDOWS
     hits = sent.join(F.broadcast(windows) if small else windows, ["w", "h"])
     aligned = saved(hits.groupBy("key", "item_id", "w", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at")))

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text import SPACES, count_chars, free_name, without, words
+from tallyspark.llm.text import SPACES, count_chars, free_name, once, without, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -74,9 +74,7 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         count_chars(t, SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         F.regexp_count(t, F.lit(r"\p{Lu}")).alias("upper"), F.regexp_count(t, F.lit("[0-9]")).alias("digits"))
-    # rand() is never below 0. It keeps the optimizer from copying this costly column into each place that uses it
-    # (a filter on the verdict would otherwise compute it once per mention).
-    d = d.select(*[F.col(f"`{c}`") for c in d.columns], F.when(F.rand(0) >= 0, found).alias(st))
+    d = d.select(*[F.col(f"`{c}`") for c in d.columns], once(found).alias(st))
     n, chars = F.col(f"{st}.w.n"), F.col(f"{st}.word_chars")
     per_word = lambda c: c.cast("double") / F.greatest(n, F.lit(1)).cast("double")
     per_char = lambda c: F.col(c).cast("double") / F.greatest(chars, F.lit(1)).cast("double")
