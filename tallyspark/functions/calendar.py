@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import DATE_PATTERN
+
+
+def parsed_date(d: Column) -> Column:
+    """The date of ISO date text (or of a date); null for text that is no date, instead of an error under ANSI rules."""
+    text = d.cast("string")
+    return F.when(text.rlike(DATE_PATTERN), text.try_cast("date"))
+
 
 def month_key(d: Column) -> Column:
     """yyyy-MM text month of a date or ISO date text."""
-    return F.date_format(F.to_date(d), "yyyy-MM")
+    return F.date_format(parsed_date(d), "yyyy-MM")
 
 
 def calendar_columns(d: Column) -> dict[str, Column]:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.calendar import parsed_date
+
 ALL = "All"
 
 
@@ -123,7 +125,7 @@ def kpi_period_over_period(cube: DataFrame, start: str, end: str, location: str
 
 def last_date_info(clean: DataFrame) -> DataFrame:
     """One row: last transaction date, its month and whether that month is complete."""
-    d = F.to_date("transaction_date")
+    d = parsed_date(F.col("transaction_date"))
     return (clean.agg(F.max(d).alias("last_date"))
                  .select("last_date", F.date_format("last_date", "yyyy-MM").alias("last_month"),
                          (F.last_day("last_date") == F.col("last_date")).alias("last_month_complete")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.calendar import parsed_date
 from tallyspark.functions.numeric import isclose
 from tallyspark.functions.text import DISCOUNT_VALUES
 from tallyspark.schema import CLEAN_COLUMNS
@@ -47,7 +48,7 @@ def cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def date_range(df: DataFrame) -> DataFrame:
     """First and last date and distinct days."""
-    d = F.to_date("transaction_date")
+    d = parsed_date(F.col("transaction_date"))
     return df.agg(F.date_format(F.min(d), "yyyy-MM-dd").alias("start"),
                   F.date_format(F.max(d), "yyyy-MM-dd").alias("end"),
                   F.count_distinct(d).alias("unique_days"))
@@ -99,7 +100,7 @@ def validate_checks(df: DataFrame, expected_columns: list[str] | None = None) ->
         (F.count_if(F.col("transaction_id").isNull()) == 0).alias("transaction_ids_complete"),
         (F.count(F.lit(1)) == F.count_distinct("transaction_id")
          + F.when(F.count_if(F.col("transaction_id").isNull()) > 0, 1).otherwise(0)).alias("transaction_ids_unique"),
-        (F.count_if(F.to_date("transaction_date").isNull()) == 0).alias("dates_parseable"),
+        (F.count_if(parsed_date(F.col("transaction_date")).isNull()) == 0).alias("dates_parseable"),
         (F.count_if(~F.coalesce(F.col("discount_applied").isin(DISCOUNT_VALUES), F.lit(False))) == 0)
         .alias("discount_values_valid"),
         (F.count_if(complete & ~isclose(p * q, t)) == 0).alias("arithmetic_identity_holds_for_complete_rows"),
@@ -124,7 +125,7 @@ def validate_or_raise(df: DataFrame) -> list[tuple[str, bool]]:
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """One-row profile: shape, date range, cardinality, coverage, audit counts (J12), one scan."""
-    d = F.to_date("transaction_date")
+    d = parsed_date(F.col("transaction_date"))
     y = lambda c: F.col(c) == "Yes"
     n = F.count(F.lit(1))
     return df.agg(

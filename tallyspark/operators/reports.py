@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.stats import complete_month_rows
 from tallyspark.functions.numeric import safe_ratio
 
 
@@ -90,10 +91,9 @@ def month_over_month(df: DataFrame) -> DataFrame:
                      .alias("month_over_month_pct"))
 
 
-def headline_totals(df: DataFrame, before: str | None = None) -> DataFrame:
-    """Sales, valid records, average and coverage over an optional date cut."""
-    if before:
-        df = df.where(F.col("transaction_date") < F.lit(before))
+def headline_totals(df: DataFrame) -> DataFrame:
+    """Sales, valid records, average and coverage without a partial last month."""
+    df = complete_month_rows(df).where(F.col("transaction_date").isNotNull())
     g = df.agg(money("total_spent").alias("_s"), F.count("total_spent").alias("valid"),
                F.count(F.lit(1)).alias("records"))
     return g.select(F.col("_s").cast("double").alias("sales"), "valid", "records",
@@ -101,10 +101,9 @@ def headline_totals(df: DataFrame, before: str | None = None) -> DataFrame:
                     safe_ratio(F.col("valid"), F.col("records")).alias("coverage"))
 
 
-def category_summary(df: DataFrame, before: str | None = None) -> DataFrame:
-    """Sales, valid count and sales per valid transaction by category."""
-    if before:
-        df = df.where(F.col("transaction_date") < F.lit(before))
+def category_summary(df: DataFrame) -> DataFrame:
+    """Sales, valid count and sales per valid transaction by category, without a partial last month."""
+    df = complete_month_rows(df).where(F.col("transaction_date").isNotNull())
     g = df.groupBy("category").agg(money("total_spent").alias("_s"), F.count("total_spent").alias("valid"))
     return g.select("category", F.col("_s").cast("double").alias("sales"), "valid",
                     safe_ratio(F.col("_s").cast("double"), F.col("valid")).alias("sales_per_transaction"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.calendar import parsed_date
 from tallyspark.functions.tails import chi2_sf, normal_sf, t_sf_two_sided
 from tallyspark.operators.ranks import DEFAULT_BUCKETS, cumulative_counts, doubled_rank, with_bucket
 
@@ -121,12 +122,12 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int = DEFAULT_BUCKETS) -> D
 
 
 def complete_month_rows(df: DataFrame) -> DataFrame:
-    """Rows outside the last month unless that month is complete."""
-    d = F.to_date("transaction_date")
+    """Rows outside the last month unless that month is complete (C5); rows without a date stay in either case."""
+    d = parsed_date(F.col("transaction_date"))
     last = df.agg(F.max(d).alias("_ld")).select(
         F.date_format("_ld", "yyyy-MM").alias("_lm"), (F.last_day("_ld") == F.col("_ld")).alias("_lc"))
     return (df.crossJoin(F.broadcast(last))
-              .where(F.col("_lc") | (F.substring("transaction_date", 1, 7) != F.col("_lm")))
+              .where(F.coalesce(F.col("_lc"), F.lit(True)) | d.isNull() | (F.date_format(d, "yyyy-MM") != F.col("_lm")))
               .drop("_lm", "_lc"))
 
 

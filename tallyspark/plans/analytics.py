@@ -344,13 +344,6 @@ def q_top_decile_rows(spark, sf_dir):
     return te.crossJoin(F.broadcast(p)).where(F.col("y") >= F.col("p90")).groupBy("p90").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("leakage_guard")
-def q_leakage_guard(spark, sf_dir):
-    cols = cleaned(spark, sf_dir).columns
-    rows = [(f, ok, f in cols) for f, ok in MD.leakage_guard()]
-    return spark.createDataFrame(rows, "feature string, allowed boolean, present boolean")
-
-
 _BENCH_RESULTS: dict = {}
 
 

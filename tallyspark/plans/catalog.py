@@ -95,14 +95,6 @@ def q_clean_from_raw(spark, sf_dir):
     return C.clean(retail_raw(spark, sf_dir))
 
 
-@register("check_source_schema")
-def q_check_source_schema(spark, sf_dir):
-    from tallyspark.sources.files import check_source_schema
-    df = raw(spark, sf_dir)
-    check_source_schema(df.columns)
-    return spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column string, position int")
-
-
 @register("content_fingerprint")
 def q_content_fingerprint(spark, sf_dir):
     from tallyspark.sources.files import content_fingerprint
@@ -413,21 +405,27 @@ def q_dashboard_cube(spark, sf_dir):
     return cube(spark, sf_dir)
 
 
+# The last month counts only if the data reaches its last day; rows without a date do not count.
+COMPLETE_MONTHS = """transaction_date IS NOT NULL AND (substr(CAST(transaction_date AS VARCHAR), 1, 7)
+    <> (SELECT substr(CAST(MAX(transaction_date) AS VARCHAR), 1, 7) FROM clean)
+  OR (SELECT last_day(CAST(MAX(transaction_date) AS DATE)) = CAST(MAX(transaction_date) AS DATE) FROM clean))"""
+
+
 @register("headline_totals", with_clean(f"""
 SELECT {M('total_spent')} AS sales, COUNT(total_spent) AS valid, COUNT(*) AS records,
        {M('total_spent')} / NULLIF(COUNT(total_spent), 0) AS average,
        COUNT(total_spent) / NULLIF(COUNT(*), 0) AS coverage
-FROM clean WHERE transaction_date < '2001-01-01'"""))
+FROM clean WHERE {COMPLETE_MONTHS}"""))
 def q_headline_totals(spark, sf_dir):
-    return R.headline_totals(cleaned(spark, sf_dir), before="2001-01-01")
+    return R.headline_totals(cleaned(spark, sf_dir))
 
 
 @register("category_summary", with_clean(f"""
 SELECT category, {M('total_spent')} AS sales, COUNT(total_spent) AS valid,
        {M('total_spent')} / NULLIF(COUNT(total_spent), 0) AS sales_per_transaction
-FROM clean WHERE transaction_date < '2001-01-01' GROUP BY category"""))
+FROM clean WHERE {COMPLETE_MONTHS} GROUP BY category"""))
 def q_category_summary(spark, sf_dir):
-    return R.category_summary(cleaned(spark, sf_dir), before="2001-01-01")
+    return R.category_summary(cleaned(spark, sf_dir))
 
 
 @register("channel_mean_difference", with_clean("""

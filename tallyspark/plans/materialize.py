@@ -28,10 +28,11 @@ def code_signature() -> str:
     """Hash of the source of the modules that define the cleaned table, so a rule change never reuses a stale table."""
     import inspect
 
+    from tallyspark import schema
     from tallyspark.functions import calendar, numeric, text
     from tallyspark.operators import cleaning, ranks
     from tallyspark.sources import adapter
-    src = "".join(inspect.getsource(m) for m in (text, numeric, calendar, cleaning, ranks, adapter))
+    src = "".join(inspect.getsource(m) for m in (schema, text, numeric, calendar, cleaning, ranks, adapter))
     return hashlib.sha1(src.encode()).hexdigest()[:12]
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspark.schema import CLEAN_COLUMNS, DISPLAY_NAMES, RAW_COLUMNS, RAW_SCHEMA, SOURCE_COLUMNS
+from tallyspark.schema import CLEAN_COLUMNS, DISPLAY_NAMES, RAW_COLUMNS, SOURCE_COLUMNS
 
 
 def check_source_schema(columns: list[str]) -> None:
@@ -25,9 +26,11 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
               .option("encoding", "UTF-8").csv(path).columns)
     header = [h.lstrip("﻿") for h in header]
     check_source_schema(header)
-    return (spark.read.schema(RAW_SCHEMA).option("header", True)
-            .option("enforceSchema", True).option("emptyValue", "")
-            .option("mode", "PERMISSIVE").csv(path))
+    named = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    # enforceSchema off: the header of every file is compared with the contract, not only that of the first.
+    return (spark.read.schema(named).option("header", True)
+            .option("enforceSchema", False).option("emptyValue", "")
+            .option("mode", "PERMISSIVE").csv(path).toDF(*RAW_COLUMNS))
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
