@@ -9,14 +9,17 @@ more candidates its prefix is estimated to meet (sum of the token frequencies),
 longer the prefix and the more matches are asked for before a pair is verified.
 
 1. One pass makes the sets and writes the smallest hashes of each. How often tokens
-   occur in the plain prefixes gives the frequent ones, a list of bounded size, and so
-   the order. Any list gives right results, a better one fewer candidates.
-2. The prefix index (token, set, size, l, position) comes from the written hashes; only
-   documents with too many frequent tokens among them are read again. Documents with
-   equal sets are one entry; tokens of a single entry are dropped.
+   occur among them gives the frequent ones, a list of bounded size, and so the order.
+   Sets with too many frequent tokens there (near copies, mostly) are made again whole,
+   one row of each, and all their tokens are counted too: their own rare tokens then come
+   first, and the position bound rejects what only shares the frequent rest. Any list
+   gives right results, a better one fewer candidates.
+2. The prefix index (token, set, size, l, position) comes from the written hashes and the
+   whole sets. Documents with equal sets are one entry; tokens of a single entry are dropped.
 3. Star round: in each token's group every member is paired with one leader of the
-   group only. Verified links merge classes, so a group of n near copies costs n
-   pairs, not n * n.
+   group only, the one with the fewest rarer tokens, which is the nearest to the middle
+   of a group of near copies. Verified links merge classes, so a group of n near copies
+   costs n pairs, not n * n.
 4. What is left is enumerated in full: pairs in different classes that share at least
    min(l_x, l_y) prefix tokens and pass the length and position bounds. No link
    between classes is lost; pairs within a class are already connected.
@@ -69,7 +72,7 @@ class Tokens:
         if not ws:
             return np.empty(0, dtype=np.int64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(ws):
             if w not in known:
@@ -95,6 +98,13 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).view(np.int64))
 
 
+def slices(batches, rows: int = 512):
+    """The batches in smaller parts, which bounds what a Python worker holds at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
@@ -109,7 +119,7 @@ def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     ``low`` holds enough of them for the prefix in the order of the hashes, and some more in place of frequent tokens."""
     def run(batches):
         tokens = Tokens()
-        for b in batches:
+        for b in slices(batches):
             sets = [tokens(t) for t in _texts(b, 1)]
             low = [s[:prefix_length(len(s), MAX_MATCHES) + len(s) // 10 + 8].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -122,16 +132,22 @@ def prefix_length(n: int, l: int) -> int:
     return n - least_overlap(n) + l
 
 
-def frequent_tokens(sets: DataFrame, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens and their frequency class (log2 of the count in the plain prefixes): the most frequent classes
-    that hold at most ``max_frequent`` tokens, which bounds what reaches the driver and is broadcast."""
+Known = tuple[np.ndarray, np.ndarray]
+
+
+def token_counts(sets: DataFrame, column: str) -> DataFrame:
+    """(token, k): the tokens in the lists of ``column`` that occur at least 4 times, and the log2 of how often."""
     def run(batches):
-        for b in batches:
-            parts = [np.frombuffer(x, dtype=np.int64)[:prefix_length(n, BASE_MATCHES)] for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(_long(parts))], ["token"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_long([np.frombuffer(x, dtype=np.int64) for x in b.column(0).to_pylist()]))], ["token"])
+
+    return (sets.select(column).mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+            .where("c >= 4").select("token", F.floor(F.log2("c")).cast("int").alias("k")))
 
-    counts = saved(sets.select("n", "low").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-                   .where("c >= 4").withColumn("k", F.floor(F.log2("c")).cast("int")))
+
+def frequent_tokens(counts: DataFrame, max_frequent: int) -> Known:
+    """Sorted tokens and their frequency class: the most frequent classes that hold at most ``max_frequent`` tokens, which
+    bounds what reaches the driver and is broadcast."""
     sizes = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     least, held = 64, 0
     for k in sorted(sizes, reverse=True):
@@ -172,43 +188,61 @@ def _entries(found: list[tuple[int, int, np.ndarray, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "n", "l", "pos"])
 
 
-def prefix_index(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, set, n, l, pos) of each set's adaptive prefix, for tokens that several sets have."""
+def unsettled(sets: DataFrame, frequent: Known) -> DataFrame:
+    """(set, key) of the sets whose smallest hashes do not settle the prefix, and the key of one row of each."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        for b in batches:
+            keep = [n > 0 and adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, *shared.value) is None
+                    for n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3)], ["set", "key"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = sets.select("n", "low", "set", row_key("doc_id").alias("key")).mapInArrow(run, "set long, key long")
+    return rows.groupBy("set").agg(F.min("key").alias("key"))
+
+
+def whole_sets(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(set, tokens) of the sets in ``rows`` (set, key), made again from one row of each."""
+    return token_sets(docs, text, doc_id, bitmap_of(rows)).join(rows.select("set"), "set", "left_semi")
+
+
+def prefix_index(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, max_frequent: int) -> DataFrame:
+    """(token, set, n, l, pos, earlier) of each set's adaptive prefix, for tokens that several sets have."""
+    counts = saved(token_counts(sets, "low"))
+    hot = saved(unsettled(sets, frequent_tokens(counts, max_frequent)))
+    whole = saved(whole_sets(docs, hot, text, doc_id))
+    both = counts.union(token_counts(whole, "tokens")).groupBy("token").agg(F.max("k").alias("k"))
+    frequent = frequent_tokens(saved(both), max_frequent)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def from_low(batches):
-        known, classes = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = []
             for n, i, low in zip(*(b.column(c).to_pylist() for c in range(3))):
-                prefix = adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, known, classes) if n else None
+                prefix = adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, *shared.value) if n else None
                 if prefix:
                     found.append((i, n, *prefix))
             yield _entries(found)
 
-    def unsettled(batches):
-        known, classes = shared.value
-        for b in batches:
-            keep = [n > 0 and adaptive_prefix(np.frombuffer(low, dtype=np.int64), n, known, classes) is None
-                    for n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(2)], ["key"]).filter(pa.array(keep, pa.bool_()))
-
-    def from_text(batches):
-        known, classes = shared.value
-        tokens = Tokens()
-        for b in batches:
+    def from_whole(batches):
+        for b in slices(batches):
             found = []
-            for t in _texts(b, 0):
-                s = tokens(t)
-                found.append((set_id(s), len(s), *adaptive_prefix(s, len(s), known, classes)))
+            for i, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(tokens, dtype=np.int64)
+                found.append((i, len(s), *adaptive_prefix(s, len(s), *shared.value)))
             yield _entries(found)
 
-    more = sets.select("n", "low", row_key("doc_id").alias("key")).mapInArrow(unsettled, "key long")
-    rows = sets.select("n", "set", "low").mapInArrow(from_low, INDEX).union(
-        marked(docs, text, doc_id, bitmap_of(more)).mapInArrow(from_text, INDEX))
+    # A set that the longer list leaves unsettled is made again as well; a set in two branches has equal entries in both.
+    late = saved(unsettled(sets, frequent).join(hot.select("set"), "set", "left_anti"))
+    rest = whole_sets(docs, late, text, doc_id)
+    rows = sets.select("n", "set", "low").mapInArrow(from_low, INDEX).union(whole.union(rest).mapInArrow(from_whole, INDEX))
     # One exchange by token serves the removal of copies, the count and the groups.
     one = rows.repartition(F.col("token")).dropDuplicates(["token", "set"])
-    return one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    met = one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    # Of the prefix tokens before one, only those that other prefixes have too can be shared with a set that has it.
+    earlier = F.row_number().over(Window.partitionBy("set").orderBy("pos")) - 1
+    return met.withColumn("earlier", earlier)
 
 
 def row_key(doc_id):
@@ -225,29 +259,21 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def marked(docs: DataFrame, text: str, doc_id: str, bits: np.ndarray) -> DataFrame:
-    """(text) of the non-blank rows whose doc_id has a bit (and of a few others, as the bitmap is hashed)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def token_sets(docs: DataFrame, text: str, doc_id: str, wanted: np.ndarray) -> DataFrame:
+    """(set, tokens): the sorted tokens as bytes, for the non-blank rows whose doc_id has a bit in ``wanted`` (and for a
+    few others, as the bitmap is hashed)."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        for b in batches:
+        tokens = Tokens()
+        for b in slices(batches):
             slot = b.column(1).to_numpy() & ((1 << MAP_BITS) - 1)
             hit = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([b.column(0)], ["text"]).filter(pa.array(hit.astype(bool)))
-
-    return (docs.where(F.col(text).rlike(WORD_CLASS)).select(F.col(text).alias("text"), row_key(doc_id).alias("key"))
-            .mapInArrow(run, "text string"))
-
-
-def token_sets(docs: DataFrame, text: str, doc_id: str, wanted: np.ndarray) -> DataFrame:
-    """(set, tokens): the sorted tokens as bytes, for the rows that ``wanted`` has a bit for."""
-    def run(batches):
-        tokens = Tokens()
-        for b in batches:
-            found = [tokens(t) for t in _texts(b, 0)]
+            found = [tokens(t) for t in _texts(b.filter(pa.array(hit.astype(bool))), 0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()),
                                               pa.array([s.tobytes() for s in found], pa.binary())], ["set", "tokens"])
-    return marked(docs, text, doc_id, wanted).mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
+    rows = docs.where(F.col(text).rlike(WORD_CLASS)).select(F.col(text).alias("text"), row_key(doc_id).alias("key"))
+    return rows.mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
 
 
 def overlap(p: np.ndarray, q: np.ndarray) -> int:
@@ -267,12 +293,12 @@ def may_link(low_x: bytes, nx: int, low_y: bytes, ny: int) -> bool:
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The pairs (a, b) of sets that are linked: first by the bound, then by whole sets made again from the texts."""
     def bound(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = [may_link(*r) for r in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
@@ -325,20 +351,22 @@ def with_class(index: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def could_link(a: str, b: str):
-    """Length and position bounds for a pair that meets in a token."""
+    """Length and position bounds for a pair that meets in a token: the intersection has at most what both have from
+    there on, and the earlier matches. Each of the first min(l) shared tokens of a linked pair meets them."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.ceil(F.lit(MIN_PER_CENT) * (na + nb) / F.lit(float(100 + MIN_PER_CENT)) - F.lit(1e-9))
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.l"), F.col(f"{b}.l")) - 1
+    before = F.least(F.col(f"{a}.earlier"), F.col(f"{b}.earlier"), F.col(f"{a}.l") - 1, F.col(f"{b}.l") - 1)
+    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) + before
     return (100 * na >= MIN_PER_CENT * nb) & (100 * nb >= MIN_PER_CENT * na) & (rest >= need)
 
 
 def similar_classes(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, max_frequent: int = 1_000_000) -> DataFrame:
     """(set, class) of every set that is linked with another one."""
-    index = saved(prefix_index(docs, sets, text, doc_id, frequent_tokens(sets, max_frequent)))
+    index = saved(prefix_index(docs, sets, text, doc_id, max_frequent))
     links, classes = None, None
     for r in range(STAR_ROUNDS):
         at = with_class(index, classes)
-        lead = at.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "set", "class", "n", "l", "pos")).alias("lead"))
+        lead = at.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("class", F.lit(r)).alias("h"), "set", "class", "n", "l", "earlier")).alias("lead"))
         pairs = (at.join(lead, "token").where("class <> lead.class")
                  .alias("x").where(could_link("x", "lead"))
                  .groupBy(F.col("lead.set").alias("a"), F.col("set").alias("b"))
