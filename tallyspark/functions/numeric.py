@@ -16,10 +16,6 @@ def isclose_symmetric(a: Column, b: Column, rel_tol: float = 1e-9, abs_tol: floa
     return F.abs(a - b) <= F.greatest(F.lit(rel_tol) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_tol))
 
 
-def clip01(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-
-
 def yes_no(cond: Column) -> Column:
     """Audit flag text: "Yes" where the condition holds, "No" otherwise (null included)."""
     return F.when(cond, F.lit("Yes")).otherwise(F.lit("No"))
@@ -28,12 +24,3 @@ def yes_no(cond: Column) -> Column:
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, null when den is 0 or null."""
     return F.when(den != 0, num / den)
-
-
-def money_sum(c: Column) -> Column:
-    """Sum of a money column carried in DECIMAL and returned as double.
-
-    Decimal addition is exact and order-independent, so the result does not
-    depend on partitioning and matches any SQL engine bit for bit.
-    """
-    return F.sum(c.cast("decimal(28,6)")).cast("double")

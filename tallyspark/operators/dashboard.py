@@ -18,7 +18,7 @@ ALL = "All"
 
 def _msum(c: str) -> Column:
     """Re-aggregate a cube money measure exactly (2-decimal values summed in DECIMAL)."""
-    return F.sum(F.col(c).cast("decimal(28,2)")).cast("double")
+    return F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
 METRICS = ("salesPerTxn", "sales", "valid", "units")
 
 
@@ -30,7 +30,7 @@ def build_cube(df: DataFrame) -> DataFrame:
     return (df.groupBy(F.substring("transaction_date", 1, 7).alias("month"), "location", "category")
               .agg(F.count(F.lit(1)).alias("rows"), F.count("total_spent").alias("valid"),
                    F.count("quantity").alias("quantity_valid"),
-                   F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,2)")), F.lit(0)).cast("double").alias("sales"),
+                   F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,6)")), F.lit(0)).cast("double").alias("sales"),
                    F.coalesce(F.sum(F.col("quantity").cast("double")), F.lit(0.0)).alias("units")))
 
 
@@ -100,9 +100,9 @@ def kpi_period_over_period(cube: DataFrame, start: str, end: str, location: str
     cur = (F.col("month") >= start) & (F.col("month") <= end)
     prv = has_prior & (F.col("mi") >= F.col("s") - F.col("len")) & (F.col("mi") <= F.col("s") - 1)
     g = tagged.agg(
-        F.coalesce(F.sum(F.when(cur, F.col("sales").cast("decimal(28,2)"))).cast("double"), F.lit(0.0)).alias("cs"),
+        F.coalesce(F.sum(F.when(cur, F.col("sales").cast("decimal(28,6)"))).cast("double"), F.lit(0.0)).alias("cs"),
         F.coalesce(F.sum(F.when(cur, F.col("valid"))), F.lit(0)).cast("long").alias("cv"),
-        F.sum(F.when(prv, F.col("sales").cast("decimal(28,2)"))).cast("double").alias("_ps"),
+        F.sum(F.when(prv, F.col("sales").cast("decimal(28,6)"))).cast("double").alias("_ps"),
         F.sum(F.when(prv, F.col("valid"))).alias("_pv"))
     g = g.crossJoin(F.broadcast(bounds.select(has_prior.alias("hp"))))
     ps = F.when(F.col("hp"), F.coalesce(F.col("_ps"), F.lit(0.0)))

@@ -17,7 +17,7 @@ from tallyspark.functions.numeric import safe_ratio
 
 
 def money(c) -> F.Column:
-    return F.sum(F.col(c).cast("decimal(28,2)") if isinstance(c, str) else c.cast("decimal(28,2)"))
+    return F.sum(F.col(c).cast("decimal(28,6)") if isinstance(c, str) else c.cast("decimal(28,6)"))
 
 
 def _sales_cols(total: str = "total_spent"):
@@ -121,9 +121,9 @@ def channel_mean_difference(df: DataFrame, a: str = "Online", b: str = "In-store
     """Observed mean difference a - b and the number of clusters."""
     t = df.where(F.col("total_spent").isNotNull())
     g = t.agg(
-        (F.sum(F.when(F.col("location") == a, F.col("total_spent").cast("decimal(28,2)"))).cast("double")
+        (F.sum(F.when(F.col("location") == a, F.col("total_spent").cast("decimal(28,6)"))).cast("double")
          / F.count_if(F.col("location") == a)).alias("_ma"),
-        (F.sum(F.when(F.col("location") == b, F.col("total_spent").cast("decimal(28,2)"))).cast("double")
+        (F.sum(F.when(F.col("location") == b, F.col("total_spent").cast("decimal(28,6)"))).cast("double")
          / F.count_if(F.col("location") == b)).alias("_mb"),
         F.count_distinct(cluster).alias("clusters"))
     return g.select((F.col("_ma") - F.col("_mb")).alias("observed_difference"), "clusters")
@@ -170,7 +170,7 @@ def outlier_sensitivity(df: DataFrame) -> DataFrame:
     g = t.groupBy(F.col("location").alias("channel")).agg(
         money("total_spent").cast("double").alias("sales_all"),
         F.count(F.lit(1)).alias("n_all"),
-        F.sum(F.when(keep, F.col("total_spent").cast("decimal(28,2)"))).cast("double").alias("sales_trimmed"),
+        F.sum(F.when(keep, F.col("total_spent").cast("decimal(28,6)"))).cast("double").alias("sales_trimmed"),
         F.count_if(keep).alias("n_trimmed"))
     return g.select("channel", "sales_all", "n_all", "sales_trimmed", "n_trimmed",
                     safe_ratio(F.col("sales_trimmed") - F.col("sales_all"), F.col("sales_all")).alias("sales_rel_change"),

@@ -139,7 +139,7 @@ def monthly_trend_spearman(df: DataFrame, buckets: int = DEFAULT_BUCKETS) -> Dat
     """
     rows = complete_month_rows(df).where(F.col("transaction_date").isNotNull())
     monthly = rows.groupBy(F.substring("transaction_date", 1, 7).alias("m")).agg(
-        F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,2)")), F.lit(0).cast("decimal(28,2)")).alias("y"))
+        F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,6)")), F.lit(0).cast("decimal(28,6)")).alias("y"))
     idx = monthly.select((F.row_number().over(Window.orderBy("m")) - 1).cast("double").alias("x"),
                          F.col("y").cast("double").alias("y"), F.lit(1).cast("long").alias("n"))
     return spearman_pairs(idx, buckets).select(F.lit("Spearman trend test").alias("test"),

@@ -113,7 +113,7 @@ def q_spearman(spark, sf_dir):
 
 @register("monthly_trend_spearman", _spearman_sql("""
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY m) - 1 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 1 AS n FROM
-  (SELECT substr(c.transaction_date, 1, 7) AS m, coalesce(SUM(CAST(c.total_spent AS DECIMAL(28,2))), 0) AS y
+  (SELECT substr(c.transaction_date, 1, 7) AS m, coalesce(SUM(CAST(c.total_spent AS DECIMAL(28,6))), 0) AS y
    FROM clean c, (SELECT strftime(max(d), '%Y-%m') AS lm, last_day(max(d)) = max(d) AS lc FROM cleanx) l
    WHERE c.transaction_date IS NOT NULL AND (l.lc OR substr(c.transaction_date, 1, 7) <> l.lm) GROUP BY 1)""",
     n_name="n_months", test="Spearman trend test"))
@@ -166,8 +166,8 @@ register("chi_square_payment_missing", _chi_sql("payment_method", "missing_total
     _chi_q("payment_method", "missing_total", True))
 
 
-# BH over a p-value column derived from the line items (many ties, 60k values at sf0.01).
-_P_EXPR_SQL = "CAST((l_orderkey * 7 + l_linenumber) % 9973 + 1 AS DOUBLE) / 10000.0"
+# BH over a p-value column derived from the line items (ties; the distinct values grow with the table).
+_P_EXPR_SQL = "CAST((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 999999937 + 1 AS DOUBLE) / 1000000000.0"
 
 
 @register("fdr_bh", f"""
@@ -180,8 +180,8 @@ SELECT v AS p_value, t AS n,
 FROM r""")
 def q_fdr_bh(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 9973 + 1).cast("double").alias("_x"))
-    return ST.fdr_bh(li.select((F.col("_x") / 10000.0).alias("p_value")))
+        ((F.col("l_orderkey").cast("long") * 7919 + F.col("l_linenumber").cast("long") * 104729 + F.col("l_partkey").cast("long") * 31) % 999999937 + 1).cast("double").alias("_x"))
+    return ST.fdr_bh(li.select((F.col("_x") / 1000000000.0).alias("p_value")))
 
 
 @register("cluster_bootstrap", _clean_then(f"""

@@ -70,7 +70,7 @@ def cube(spark, sf_dir):
 
 def M(c: str) -> str:
     """DuckDB exact money sum as double."""
-    return f"CAST(SUM(CAST({c} AS DECIMAL(28,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def CNT(cond: str) -> str:
@@ -199,7 +199,7 @@ def q_impute_item(spark, sf_dir):
 @register("item_price_map", with_clean("""
 SELECT item, min(price_recorded) AS price FROM cleanx
 WHERE item IS NOT NULL AND price_recorded IS NOT NULL AND item_imputed = 'No'
-GROUP BY item HAVING count(DISTINCT TRY_CAST(price_recorded AS DECIMAL(18,6))) = 1"""))
+GROUP BY item HAVING count(DISTINCT TRY_CAST(price_recorded AS DECIMAL(18,2))) = 1"""))
 def q_item_price_map(spark, sf_dir):
     return C.item_price_map(C.derive_price(C.parse_raw(raw(spark, sf_dir))))
 
@@ -386,7 +386,7 @@ def q_customer_summary(spark, sf_dir):
 SELECT sales_month, CAST(rs AS DOUBLE) AS recorded_sales, CAST(prev AS DOUBLE) AS previous_month_sales,
        CASE WHEN prev <> 0 THEN 100.0::DOUBLE * CAST(rs - prev AS DOUBLE) / CAST(prev AS DOUBLE) END AS month_over_month_pct
 FROM (SELECT sales_month, rs, LAG(rs) OVER (ORDER BY sales_month ASC NULLS FIRST) AS prev
-      FROM (SELECT substr(transaction_date, 1, 7) AS sales_month, SUM(CAST(total_spent AS DECIMAL(28,2))) AS rs
+      FROM (SELECT substr(transaction_date, 1, 7) AS sales_month, SUM(CAST(total_spent AS DECIMAL(28,6))) AS rs
             FROM clean GROUP BY 1))"""))
 def q_month_over_month(spark, sf_dir):
     return R.month_over_month(cleaned(spark, sf_dir))
@@ -395,7 +395,7 @@ def q_month_over_month(spark, sf_dir):
 _CUBE = """
 SELECT substr(transaction_date, 1, 7) AS month, location, category, COUNT(*) AS rows,
        COUNT(total_spent) AS valid, COUNT(quantity) AS quantity_valid,
-       coalesce(CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE), 0.0) AS sales,
+       coalesce(CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) AS DOUBLE), 0.0) AS sales,
        coalesce(SUM(CAST(quantity AS DOUBLE)), 0.0) AS units
 FROM clean GROUP BY 1, 2, 3"""
 
@@ -429,9 +429,9 @@ def q_category_summary(spark, sf_dir):
 
 
 @register("channel_mean_difference", with_clean("""
-SELECT CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) FILTER (WHERE location = 'Online') AS DOUBLE)
+SELECT CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) FILTER (WHERE location = 'Online') AS DOUBLE)
          / COUNT(*) FILTER (WHERE location = 'Online')
-       - CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) FILTER (WHERE location = 'In-store') AS DOUBLE)
+       - CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) FILTER (WHERE location = 'In-store') AS DOUBLE)
          / COUNT(*) FILTER (WHERE location = 'In-store') AS observed_difference,
        COUNT(DISTINCT customer_id) AS clusters
 FROM clean WHERE total_spent IS NOT NULL"""))
@@ -646,8 +646,8 @@ SELECT channel, sales_all, n_all, sales_trimmed, n_trimmed,
        CASE WHEN sales_all <> 0 THEN (sales_trimmed - sales_all) / sales_all END AS sales_rel_change,
        CASE WHEN sales_all / n_all <> 0 THEN (CASE WHEN n_trimmed <> 0 THEN sales_trimmed / n_trimmed END) / (sales_all / n_all) END - 1.0
          AS mean_rel_change
-FROM (SELECT location AS channel, CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE) AS sales_all, COUNT(*) AS n_all,
-             CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) FILTER (WHERE total_outlier_iqr = 'No') AS DOUBLE) AS sales_trimmed,
+FROM (SELECT location AS channel, CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) AS DOUBLE) AS sales_all, COUNT(*) AS n_all,
+             CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) FILTER (WHERE total_outlier_iqr = 'No') AS DOUBLE) AS sales_trimmed,
              COUNT(*) FILTER (WHERE total_outlier_iqr = 'No') AS n_trimmed
       FROM clean WHERE total_spent IS NOT NULL GROUP BY 1)"""))
 def q_outlier_sensitivity(spark, sf_dir):
@@ -665,7 +665,7 @@ def q_median_by_category(spark, sf_dir):
 SELECT item, CAST(r AS DOUBLE) AS revenue, ROW_NUMBER() OVER w AS revenue_rank,
        CAST(SUM(r) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(SUM(r) OVER () AS DOUBLE)
          AS cumulative_share
-FROM (SELECT item, SUM(CAST(total_spent AS DECIMAL(28,2))) AS r FROM clean
+FROM (SELECT item, SUM(CAST(total_spent AS DECIMAL(28,6))) AS r FROM clean
       WHERE item IS NOT NULL AND total_spent IS NOT NULL GROUP BY item)
 WINDOW w AS (ORDER BY r DESC, item ASC)"""))
 def q_item_pareto(spark, sf_dir):
@@ -733,7 +733,7 @@ def _cube_sql(select: str) -> str:
 @register("kpi_summary", _cube_sql(f"""
 SELECT sales, valid, rows, CASE WHEN valid > 0 THEN sales / valid END AS average,
        CASE WHEN rows > 0 THEN valid / rows END AS coverage
-FROM (SELECT coalesce(CAST(SUM(CAST(sales AS DECIMAL(28,2))) AS DOUBLE), 0.0) AS sales,
+FROM (SELECT coalesce(CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE), 0.0) AS sales,
              CAST(coalesce(SUM(valid), 0) AS BIGINT) AS valid, CAST(coalesce(SUM(rows), 0) AS BIGINT) AS rows
       FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' AND location = 'Online')"""))
 def q_kpi_summary(spark, sf_dir):
@@ -744,9 +744,9 @@ _POP = f"""
 , idx AS (SELECT month, ROW_NUMBER() OVER (ORDER BY month) - 1 AS mi FROM (SELECT DISTINCT month FROM cube WHERE month IS NOT NULL)),
 b AS (SELECT s, e, e - s + 1 AS len, (e - s + 1 >= 1 AND s - (e - s + 1) >= 0) AS hp FROM
       (SELECT max(CASE WHEN month = '{{start}}' THEN mi END) AS s, max(CASE WHEN month = '{{end}}' THEN mi END) AS e FROM idx)),
-g AS (SELECT coalesce(CAST(SUM(CAST(sales AS DECIMAL(28,2))) FILTER (WHERE month >= '{{start}}' AND month <= '{{end}}') AS DOUBLE), 0.0) AS cs,
+g AS (SELECT coalesce(CAST(SUM(CAST(sales AS DECIMAL(28,6))) FILTER (WHERE month >= '{{start}}' AND month <= '{{end}}') AS DOUBLE), 0.0) AS cs,
              CAST(coalesce(SUM(valid) FILTER (WHERE month >= '{{start}}' AND month <= '{{end}}'), 0) AS BIGINT) AS cv,
-             CAST(SUM(CAST(sales AS DECIMAL(28,2))) FILTER (WHERE b.hp AND mi >= b.s - b.len AND mi <= b.s - 1) AS DOUBLE) AS ps0,
+             CAST(SUM(CAST(sales AS DECIMAL(28,6))) FILTER (WHERE b.hp AND mi >= b.s - b.len AND mi <= b.s - 1) AS DOUBLE) AS ps0,
              SUM(valid) FILTER (WHERE b.hp AND mi >= b.s - b.len AND mi <= b.s - 1) AS pv0
       FROM cube LEFT JOIN idx USING (month) CROSS JOIN b WHERE {{filt}}),
 v AS (SELECT cs, cv, CASE WHEN hp THEN coalesce(ps0, 0.0) END AS ps,
@@ -785,7 +785,7 @@ _LAST = "(SELECT strftime(max(d), '%Y-%m') AS last_month, last_day(max(d)) = max
 
 @register("monthly_trend", _cube_sql(f"""
 SELECT month, sales, (month = l.last_month AND NOT l.last_month_complete) AS partial
-FROM (SELECT month, CAST(SUM(CAST(sales AS DECIMAL(28,2))) AS DOUBLE) AS sales FROM cube
+FROM (SELECT month, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales FROM cube
       WHERE month >= '2000-01' AND month <= '2001-12' GROUP BY month) CROSS JOIN {_LAST} l"""))
 def q_monthly_trend(spark, sf_dir):
     c = cleaned(spark, sf_dir)
@@ -796,7 +796,7 @@ def q_monthly_trend(spark, sf_dir):
 SELECT category, sales, valid, units, quantity_valid, rows,
        CASE WHEN valid > 0 THEN sales / valid ELSE 0.0 END AS value,
        coalesce(category = '{KPI_CATEGORY}', false) AS selected
-FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,2))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
+FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
              SUM(units) AS units, CAST(SUM(quantity_valid) AS BIGINT) AS quantity_valid, CAST(SUM(rows) AS BIGINT) AS rows
       FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' GROUP BY category)"""))
 def q_category_breakdown(spark, sf_dir):
@@ -805,7 +805,7 @@ def q_category_breakdown(spark, sf_dir):
 
 @register("category_breakdown_units", _cube_sql(f"""
 SELECT category, sales, valid, units, quantity_valid, rows, units AS value, false AS selected
-FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,2))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
+FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
              SUM(units) AS units, CAST(SUM(quantity_valid) AS BIGINT) AS quantity_valid, CAST(SUM(rows) AS BIGINT) AS rows
       FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' AND location = 'Online' GROUP BY category)"""))
 def q_category_breakdown_units(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEW = "retail_sales"
 
-_MONEY = "CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE)"
+_MONEY = "CAST(SUM(CAST(total_spent AS DECIMAL(28,6))) AS DOUBLE)"
 
 SQL_REPORTS = {
     "monthly_channel": f"""
@@ -20,30 +20,28 @@ SELECT substr(transaction_date, 1, 7) AS sales_month, location AS channel, COUNT
        100.0D * COUNT(total_spent) / COUNT(*) AS sales_coverage_pct
 FROM {VIEW} GROUP BY sales_month, channel ORDER BY sales_month, channel""",
     "top_products": f"""
-SELECT item, category, COUNT(*) AS transaction_count, SUM(CAST(quantity AS DOUBLE)) AS units_sold,
-       {_MONEY} AS recorded_sales
-FROM {VIEW} WHERE quantity IS NOT NULL AND item_imputed = 'No'
-GROUP BY item, category HAVING COUNT(*) >= 20
-ORDER BY units_sold DESC, item ASC NULLS FIRST, category ASC NULLS FIRST LIMIT 10""",
+FROM {VIEW}
+|> WHERE item_imputed = 'No' AND quantity IS NOT NULL
+|> AGGREGATE count(1) AS transaction_count, sum(CAST(quantity AS DOUBLE)) AS units_sold, {_MONEY} AS recorded_sales
+   GROUP BY item, category
+|> WHERE transaction_count >= 20
+|> ORDER BY units_sold DESC, item NULLS FIRST, category NULLS FIRST
+|> LIMIT 10""",
     "missing_rate_by_category": f"""
-SELECT category, COUNT(*) AS total_records,
-       CAST(SUM(CASE WHEN total_spent IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_sales_records,
-       100.0D * SUM(CASE WHEN total_spent IS NULL THEN 1 ELSE 0 END) / COUNT(*) AS missing_sales_pct
-FROM {VIEW} GROUP BY category ORDER BY missing_sales_pct DESC""",
+SELECT category, count(1) AS total_records, count_if(total_spent IS NULL) AS missing_sales_records,
+       100.0D * count_if(total_spent IS NULL) / count(1) AS missing_sales_pct
+FROM {VIEW} GROUP BY ALL ORDER BY missing_sales_pct DESC""",
     "customer_summary": f"""
 SELECT customer_id, COUNT(*) AS transaction_count, COUNT(total_spent) AS valid_sales_records,
        {_MONEY} AS recorded_sales, {_MONEY} / NULLIF(COUNT(total_spent), 0) AS average_transaction_value
 FROM {VIEW} GROUP BY customer_id ORDER BY recorded_sales DESC""",
     "month_over_month": f"""
-WITH monthly AS (
-  SELECT substr(transaction_date, 1, 7) AS sales_month, SUM(CAST(total_spent AS DECIMAL(28,2))) AS rs
-  FROM {VIEW} GROUP BY sales_month
-), compared AS (
-  SELECT sales_month, rs, LAG(rs) OVER (ORDER BY sales_month) AS prev FROM monthly
-)
-SELECT sales_month, CAST(rs AS DOUBLE) AS recorded_sales, CAST(prev AS DOUBLE) AS previous_month_sales,
-       CASE WHEN prev <> 0 THEN 100.0D * CAST(rs - prev AS DOUBLE) / CAST(prev AS DOUBLE) END AS month_over_month_pct
-FROM compared ORDER BY sales_month""",
+FROM {VIEW}
+|> AGGREGATE sum(CAST(total_spent AS DECIMAL(28,6))) AS s GROUP BY substr(transaction_date, 1, 7) AS sales_month
+|> EXTEND lag(s) OVER (ORDER BY sales_month) AS p
+|> SELECT sales_month, CAST(s AS DOUBLE) AS recorded_sales, CAST(p AS DOUBLE) AS previous_month_sales,
+          100.0D * CAST(s - p AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0) AS month_over_month_pct
+|> ORDER BY sales_month""",
 }
 
 

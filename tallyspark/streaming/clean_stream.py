@@ -61,6 +61,6 @@ def cube_stream(clean: DataFrame, watermark: str = "62 days") -> DataFrame:
                  .groupBy("_m", F.substring("transaction_date", 1, 7).alias("month"), "location", "category")
                  .agg(F.count(F.lit(1)).alias("rows"), F.count("total_spent").alias("valid"),
                       F.count("quantity").alias("quantity_valid"),
-                      F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,2)")), F.lit(0)).cast("double").alias("sales"),
+                      F.coalesce(F.sum(F.col("total_spent").cast("decimal(28,6)")), F.lit(0)).cast("double").alias("sales"),
                       F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("units"))
                  .drop("_m"))
