@@ -1,4 +1,4 @@
-"""Leakage-safe, time-ordered Ridge benchmark with Spark ML.
+"""Leakage-safe, time-ordered Ridge benchmark.
 
 Prediction moment: product identity and channel known, quantity and total
 not yet. Preprocessing (one-hot encoders, standardisation) is fitted inside
@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.cleaning import MASKED_ITEM
 from tallyspark.operators.ranks import exact_quantiles, row_index
+from tallyspark.session import checkpoint_dir
 
 # Model inputs, target and the columns kept out of the features.
 CATEGORICAL_FEATURES = ["category", "item", "location", "weekday", "quarter"]
@@ -30,7 +32,8 @@ EXCLUDED = ["price_per_unit", "quantity", "payment_method", "discount_applied",
             "missing_pattern"]
 ALPHAS = [0.1, 1.0, 10.0, 100.0]
 HOLDOUT_START = "2000-06-01"
-NORMAL_SOLVER_LIMIT = 4096
+SMALL_FEATURES = [c for c in CATEGORICAL_FEATURES if c != "item"]
+MAX_LEVELS = 1000  # per feature other than the item
 
 
 def model_frame(clean: DataFrame) -> DataFrame:
@@ -66,6 +69,106 @@ def leakage_guard(features: list[str] | None = None) -> list[tuple[str, bool]]:
 
 @dataclass
 class FittedRidge:
+    """Ridge models, one per alpha, on one training set: ``beta[k]`` belongs to ``basis``, the item effects follow from ``items``."""
+    alphas: list[float]
+    basis: list[Column]
+    beta: list[list[float]]
+    items: DataFrame
+
+    def predictions(self, df: DataFrame) -> DataFrame:
+        """``df`` with prediction_0, prediction_1, ... per alpha; levels that training has not seen add nothing."""
+        def effect(k):
+            dot = sum((F.lit(c) * F.get("b", F.lit(j)) for j, c in enumerate(self.beta[k])), F.lit(0.0))
+            return ((F.col("r") - dot) / (F.col("n") + F.lit(self.alphas[k]))).alias(f"_effect_{k}")
+
+        effects = self.items.select(F.col("item").alias("_fitted_item"), *[effect(k) for k in range(len(self.alphas))])
+        x = df.join(effects, df["item"].eqNullSafe(F.col("_fitted_item")), "left")
+        for k, beta in enumerate(self.beta):
+            linear = sum((F.lit(c) * e for c, e in zip(beta, self.basis)), F.lit(0.0))
+            x = x.withColumn(f"prediction_{k}", linear + F.coalesce(F.col(f"_effect_{k}"), F.lit(0.0)))
+        return x.drop("_fitted_item", *[f"_effect_{k}" for k in range(len(self.alphas))])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the prediction of the first alpha."""
+        return self.predictions(df).withColumnRenamed("prediction_0", "prediction").drop(
+            *[f"prediction_{k}" for k in range(1, len(self.alphas))])
+
+
+def _levels(train: DataFrame) -> dict[str, list]:
+    """The levels of each categorical but the item, null included; a wider feature raises and is never cut."""
+    sets = train.agg(*[F.collect_set(F.struct(F.col(c).alias("v"))).alias(c) for c in SMALL_FEATURES]).first()
+    levels = {c: sorted((r["v"] for r in sets[c]), key=lambda v: (v is None, v)) for c in SMALL_FEATURES}
+    wide = [c for c, v in levels.items() if len(v) > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"More than {MAX_LEVELS} levels in {wide}")
+    return levels
+
+
+def _gram(sums: DataFrame, alphas: list[float | None], p: int) -> np.ndarray:
+    """Per alpha the sum over groups of alpha s s' / (n (n + alpha)), and of s s' / n for None; s holds the p sums of the
+    basis and that of y. Each task sends (p + 1)^2 numbers per alpha, however many groups it reads."""
+    def run(batches):
+        total = np.zeros((len(alphas), p + 1, p + 1))
+        for t in batches:
+            n = t.column(0).to_numpy(zero_copy_only=False).astype(float)
+            b = t.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(n), p)
+            s = np.column_stack([b, t.column(1).to_numpy(zero_copy_only=False)])
+            for k, a in enumerate(alphas):
+                w = 1.0 / n if a is None else a / (n * (n + a))
+                total[k] += (s * w[:, None]).T @ s
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    out = np.zeros((len(alphas), p + 1, p + 1))
+    for r in sums.select("n", "r", "b").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out.flat[r["at"]] = r["v"]
+    return out
+
+
+def fit_ridges(train: DataFrame, alphas: list[float]) -> FittedRidge:
+    """Minimises ||y - Xw - b||^2 + alpha ||w||^2, the intercept b unpenalised, for all alphas from the same two aggregates.
+
+    X has one column per level of the categoricals and the standardised numerics. The
+    item block of the normal equations is diagonal, so it is eliminated: with n, r and
+    B the row count, the sum of y and the sums of the other columns of an item, the other
+    coefficients solve a system of their own (some tens of unknowns), and the item's
+    effect is (r - B beta) / (n + alpha). Item labels never leave the executors. The
+    system is written as the scatter within items, whose intercept row is exactly 0, plus
+    the sum of alpha B B' / (n (n + alpha)), which avoids cancellation for large items.
+    """
+    stats = train.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in NUMERIC_FEATURES
+                                                      for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if not stats["n"]:
+        raise ValueError("No training rows")
+    basis = [F.lit(1.0)]
+    for c, values in _levels(train).items():
+        basis += [F.when(F.col(c).eqNullSafe(F.lit(v)), 1.0).otherwise(0.0) for v in values]
+    basis += [F.coalesce((F.col(c).cast("double") - F.lit(float(stats[f"m_{c}"] or 0.0))) / F.lit(float(stats[f"s_{c}"] or 1.0)), F.lit(0.0))
+              for c in NUMERIC_FEATURES]
+    p = len(basis)
+
+    def sums(*keys):
+        return train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("r"), F.array(*[F.sum(e) for e in basis]).alias("b"))
+
+    checkpoint_dir(train.sparkSession)
+    items = sums("item").checkpoint()
+    whole = _gram(sums(*SMALL_FEATURES, *NUMERIC_FEATURES), [None], p)[0]
+    by_item = _gram(items, [None, *alphas], p)
+    within = whole - by_item[0]
+    within[0, :] = within[:, 0] = 0.0
+    beta = []
+    for a, between in zip(alphas, by_item[1:]):
+        m = within + between
+        penalty = np.diag([0.0] + [float(a)] * (p - 1))
+        beta.append([float(v) for v in np.linalg.solve(m[:p, :p] + penalty, m[:p, p])])
+    return FittedRidge([float(a) for a in alphas], basis, beta, items)
+
+
+def fit_ridge(train: DataFrame, alpha: float) -> FittedRidge:
+    return fit_ridges(train, [alpha])
+
+
+@dataclass
+class FittedForest:
     pipeline: object
     mean: dict
     scale: dict
@@ -77,44 +180,7 @@ class FittedRidge:
         return self.pipeline.transform(x)
 
 
-def fit_ridge(train: DataFrame, alpha: float) -> FittedRidge:
-    """Ridge with one-hot categoricals (unseen -> zeros) and standardised numerics.
-
-    Equivalent to minimising ||y - Xw - b||^2 + alpha ||w||^2 with an
-    unpenalised intercept: Spark's objective is scaled by 1/(2n) and its
-    solver standardises the label internally, hence regParam = alpha sd(y) / n
-    (population sd for the normal-equation solver, sample sd for L-BFGS).
-    L-BFGS (above 4096 features) stops at a relative tolerance of 1e-6: a
-    tighter one only ends in line-search failures on the flat optimum.
-    """
-    stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in NUMERIC_FEATURES],
-                      *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in NUMERIC_FEATURES],
-                      F.stddev_pop("y").alias("sy_pop"), F.stddev_samp("y").alias("sy_samp"),
-                      F.count(F.lit(1)).alias("n"),
-                      *[F.count_distinct(c).alias(f"d_{c}") for c in CATEGORICAL_FEATURES]).first()
-    mean = {c: float(stats[f"m_{c}"] or 0.0) for c in NUMERIC_FEATURES}
-    scale = {c: (float(stats[f"s_{c}"]) if stats[f"s_{c}"] else 1.0) for c in NUMERIC_FEATURES}
-    width = sum(int(stats[f"d_{c}"]) + 1 for c in CATEGORICAL_FEATURES) + len(NUMERIC_FEATURES)
-    solver = "normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs"
-    sy = stats["sy_pop"] if solver == "normal" else stats["sy_samp"]
-    n = int(stats["n"])
-    stages = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep") for c in CATEGORICAL_FEATURES]
-    stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in CATEGORICAL_FEATURES],
-                                outputCols=[f"_o_{c}" for c in CATEGORICAL_FEATURES], dropLast=True,
-                                handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"_o_{c}" for c in CATEGORICAL_FEATURES]
-                                  + [f"_z_{c}" for c in NUMERIC_FEATURES], outputCol="features"))
-    stages.append(LinearRegression(featuresCol="features", labelCol="y", predictionCol="prediction",
-                                   regParam=alpha * float(sy or 0.0) / max(n, 1), elasticNetParam=0.0,
-                                   standardization=False, fitIntercept=True, solver=solver,
-                                   maxIter=500, tol=1e-10 if solver == "normal" else 1e-6))
-    x = train
-    for c in NUMERIC_FEATURES:
-        x = x.withColumn(f"_z_{c}", (F.col(c).cast("double") - F.lit(mean[c])) / F.lit(scale[c]))
-    return FittedRidge(Pipeline(stages=stages).fit(x), mean, scale)
-
-
-def fit_forest(train: DataFrame, num_trees: int = 50, max_depth: int = 10, seed: int = 42) -> FittedRidge:
+def fit_forest(train: DataFrame, num_trees: int = 50, max_depth: int = 10, seed: int = 42) -> FittedForest:
     """Random-forest regressor on the same encoding (one-hot categoricals, standardised numerics).
 
     The archived comparison model; trees see one binary feature per level, so
@@ -136,7 +202,7 @@ def fit_forest(train: DataFrame, num_trees: int = 50, max_depth: int = 10, seed:
     x = train
     for c in NUMERIC_FEATURES:
         x = x.withColumn(f"_z_{c}", (F.col(c).cast("double") - F.lit(mean[c])) / F.lit(scale[c]))
-    return FittedRidge(Pipeline(stages=stages).fit(x), mean, scale)
+    return FittedForest(Pipeline(stages=stages).fit(x), mean, scale)
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "prediction", by: str | None = None) -> DataFrame:
@@ -160,21 +226,20 @@ def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "prediction",
 def ridge_cv(train: DataFrame, alphas: list[float] | None = None, n_splits: int = 3) -> DataFrame:
     """Per alpha: fold MAEs, their mean and sample sd."""
     alphas = alphas or ALPHAS
-    spark = train.sparkSession
     n = train.count()
+    maes = [[] for _ in alphas]
+    for tr_end, v0, v1 in fold_ranges(n, n_splits):
+        model = fit_ridges(train.where(F.col("idx") < tr_end), alphas)
+        pred = model.predictions(train.where((F.col("idx") >= v0) & (F.col("idx") < v1)))
+        scores = pred.agg(*[F.avg(F.abs(F.col("y") - F.col(f"prediction_{k}"))) for k in range(len(alphas))]).first()
+        for k, v in enumerate(scores):
+            maes[k].append(float(v))
     rows = []
-    for a in alphas:
-        maes = []
-        for tr_end, v0, v1 in fold_ranges(n, n_splits):
-            fold_tr = train.where(F.col("idx") < tr_end)
-            fold_va = train.where((F.col("idx") >= v0) & (F.col("idx") < v1))
-            model = fit_ridge(fold_tr, a)
-            pred = model.transform(fold_va)
-            maes.append(float(pred.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]))
-        mean = sum(maes) / len(maes)
-        sd = (sum((m - mean) ** 2 for m in maes) / (len(maes) - 1)) ** 0.5 if len(maes) > 1 else 0.0
-        rows.append((float(a), maes, mean, sd))
-    return spark.createDataFrame(rows, "alpha double, fold_MAE array<double>, mean_MAE double, sd_MAE double")
+    for a, m in zip(alphas, maes):
+        mean = sum(m) / len(m)
+        sd = (sum((v - mean) ** 2 for v in m) / (len(m) - 1)) ** 0.5 if len(m) > 1 else 0.0
+        rows.append((float(a), m, mean, sd))
+    return train.sparkSession.createDataFrame(rows, "alpha double, fold_MAE array<double>, mean_MAE double, sd_MAE double")
 
 
 def select_alpha(cv: DataFrame) -> float:
@@ -192,13 +257,12 @@ def benchmark(clean: DataFrame, start: str = HOLDOUT_START, alphas: list[float]
     The model frame is checkpointed to the shared checkpoint folder: every
     fit re-reads it, and its lineage (the whole cleaning plan) is cut.
     """
-    from tallyspark.session import checkpoint_dir
     checkpoint_dir(clean.sparkSession)
     leakage_guard()
     mf = model_frame(clean).checkpoint()
     train, test = chronological_split(mf, start)
     if train.limit(1).count() == 0 or test.limit(1).count() == 0:
-        raise ValueError("Chronological train or holdout split is empty")
+        raise ValueError("No rows before or from the holdout start")
     cv = ridge_cv(train, alphas)
     alpha = select_alpha(cv)
     model = fit_ridge(train, alpha)

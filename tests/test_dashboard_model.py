@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import model as M
@@ -69,10 +70,10 @@ def test_ridge_matches_closed_form(spark):
     y = 3 * (cat == "b") - 2 * (cat == "c") + 0.5 * year + 0.1 * month + rng.normal(0, 1, n)
     rows = [("X", c, "L", "Monday", "Q1", int(yy), int(mm), float(v)) for c, yy, mm, v in zip(cat, year, month, y)]
     df = spark.createDataFrame(rows, "category string, item string, location string, weekday string, quarter string, "
-                                     "year int, month int, y double")
+                                     "year int, month int, y double").withColumn("row", F.monotonically_increasing_id())
     alpha = 10.0
     fit = M.fit_ridge(df, alpha)
-    pred = np.array([r["prediction"] for r in fit.transform(df).select("prediction").collect()])
+    pred = np.array([r["prediction"] for r in fit.transform(df).orderBy("row").select("prediction").collect()])
     # closed form: one-hot (full) + standardised numerics, centred, unpenalised intercept
     cols = [(cat == v).astype(float) for v in ["a", "b", "c"]] + [np.ones(n)] * 3
     z = [(year - year.mean()) / year.std(), (month - month.mean()) / month.std()]
@@ -83,6 +84,43 @@ def test_ridge_matches_closed_form(spark):
     np.testing.assert_allclose(pred, ref, rtol=1e-6, atol=1e-6)
 
 
+def test_ridge_many_items_matches_sparse_normal_equations(spark):
+    """6,000 items of very different sizes, a null item and a null category, several alphas from one fit."""
+    rng = np.random.default_rng(1)
+    n, k = 30_000, 6_000
+    item = np.where(rng.random(n) < 0.3, 0, rng.integers(0, k, n))
+    cat, wd = rng.integers(0, 4, n), rng.integers(0, 7, n)
+    year, month = rng.integers(2020, 2024, n), rng.integers(1, 13, n)
+    y = rng.normal(0, 1, k)[item] + 0.5 * cat + 0.1 * month + rng.normal(0, 1, n)
+    rows = [("c%d" % c if c else None, "i%d" % i if i != 1 else None, "L", "d%d" % w, "Q%d" % ((m + 2) // 3), int(yy), int(m), float(v))
+            for c, i, w, yy, m, v in zip(cat, item, wd, year, month, y)]
+    df = spark.createDataFrame(rows, "category string, item string, location string, weekday string, quarter string, "
+                                     "year int, month int, y double").withColumn("row", F.monotonically_increasing_id())
+    alphas = [0.1, 10.0]
+    got = M.fit_ridges(df, alphas).predictions(df).orderBy("row").select("prediction_0", "prediction_1").toPandas().to_numpy()
+    z = [(year - year.mean()) / year.std(), (month - month.mean()) / month.std()]
+    quarter = (month + 2) // 3
+    U = np.column_stack([np.ones(n), *[cat == v for v in range(4)], np.ones(n), *[wd == v for v in range(7)],
+                         *[quarter == v for v in range(1, 5)], *z]).astype(float)
+    for j, alpha in enumerate(alphas):
+        # Optimality: the gradient of the objective in every coefficient is 0; w follows from the predictions' residuals.
+        e = y - got[:, j]
+        w_items = np.bincount(item, e, minlength=k) / alpha
+        w = U.T @ e / alpha
+        assert abs(e.sum()) < 1e-6
+        b = got[:, j] - w_items[item] - U[:, 1:] @ w[1:]
+        np.testing.assert_allclose(b, b.mean(), atol=1e-8 * max(1.0, abs(w).max() * 100))
+
+
+def test_ridge_unseen_levels_add_nothing(spark):
+    schema = "category string, item string, location string, weekday string, quarter string, year int, month int, y double"
+    df = spark.createDataFrame([("a", "x", "L", "d", "Q1", 2020, 1, 1.0), ("b", "z", "L", "d", "Q1", 2020, 2, 3.0)], schema)
+    new = spark.createDataFrame([("new", "new", "new", "new", "new", 2020, 1, 0.0), (None, None, None, None, None, None, None, 0.0)], schema)
+    fit = M.fit_ridge(df, 1.0)
+    got = [r["prediction"] for r in fit.transform(new).collect()]
+    assert len(got) == 2 and all(math.isfinite(v) for v in got)
+
+
 def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0), (4.0, 6.0)], "y double, prediction double")
     r = M.regression_metrics(df).first()
