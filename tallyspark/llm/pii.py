@@ -8,10 +8,16 @@ cards with other separators, IP addresses with other separators). Patterns and
 instances form a graph; its scores are iterated:
 
   confidence of a pattern = sum of the scores of its distinct instances / their number,
-                            0 with fewer than ``min_seeds`` distinct seeds
+                            0 with fewer than ``min_seeds`` distinct instances that are seeds or have passed
   score of an instance    = 1 for a seed, else 1 - product of (1 - confidence) over its patterns
 
-A candidate whose score reaches ``min_score`` becomes a span, if it overlaps no base
+An instance has passed when its score of the last round reached ``min_score``, so what was
+found qualifies new patterns, over any number of hops. ``rounds`` rounds make a turn; in the next turn
+instances that have passed keep their score and others begin at 0 again (confidences
+that only raise each other do not add up over turns). Scores never fall from turn to turn; the
+turns end when one passes no new instance.
+
+A candidate that has passed becomes a span, if it overlaps no base
 span. All of it is column expressions, joins and aggregates; the graph has one edge per
 candidate and pattern, and texts are read once.
 
@@ -116,15 +122,22 @@ def find_spans(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score:
     edges = each.where("base").unionByName(open_spans).select(
         "k", "value", "base", F.explode(F.array(F.concat(F.lit("b:"), "before"), F.concat(F.lit("a:"), "around"))).alias("pattern"))
     edges = saved(edges.where(~F.col("pattern").isin("b:", "a:_")).groupBy("k", "value", "pattern").agg(F.max("base").alias("seed")))
-    score = None
-    for _ in range(rounds):
-        scored = edges.withColumn("score", F.col("seed").cast("double")) if score is None else (
-            edges.join(score, ["k", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))))
-        patterns = scored.groupBy("k", "pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
-        patterns = patterns.where(F.col("seeds") >= min_seeds).select("k", "pattern", F.least(F.col("s") / F.col("n"), F.lit(0.999)).alias("conf"))
-        score = saved(edges.where(~F.col("seed")).join(patterns, ["k", "pattern"]).groupBy("k", "value")
-                      .agg((1 - F.exp(F.sum(F.ln(1 - F.col("conf"))))).alias("score")))
-    good = score.where(F.col("score") >= min_score).select("k", "value")
+    good, passed = None, 0
+    while True:
+        score = good
+        for _ in range(rounds):
+            known = edges.withColumn("score", F.lit(0.0)) if score is None else edges.join(score, ["k", "value"], "left")
+            scored = known.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+            patterns = scored.groupBy("k", "pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"),
+                                                          F.count_if(F.col("seed") | (F.col("score") >= min_score)).alias("support"))
+            patterns = patterns.where(F.col("support") >= min_seeds).select("k", "pattern", F.least(F.col("s") / F.col("n"), F.lit(0.999)).alias("conf"))
+            score = saved(edges.where(~F.col("seed")).join(patterns, ["k", "pattern"]).groupBy("k", "value")
+                          .agg((1 - F.exp(F.sum(F.ln(1 - F.col("conf"))))).alias("score")))
+        good = score.where(F.col("score") >= min_score)
+        before, passed = passed, good.count()
+        if passed <= before:
+            break
+    good = good.select("k", "value")
     added = (open_spans.join(good, ["k", "value"]).select("key", F.struct("k", "start", "end", "value", "base").alias("x")).distinct()
              .groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("added")))
     slim = found.select("doc_id", "key", F.transform(F.filter("all", lambda x: x["base"]), lambda x: F.struct(*[x[c].alias(c) for c in ("k", "start", "end", "value", "base")])).alias("base"))

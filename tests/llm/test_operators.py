@@ -181,6 +181,18 @@ def test_pii_learns_contexts(spark):
     assert red["redacted"] == "now please call me at <phone> or later"
 
 
+def test_pii_learns_over_hops(spark):
+    first, second, third = "please call me at {} or later", "his number is {} for now", "reach us under {} any time"
+    number = lambda i: f"202-555-{1000 + i}"
+    rows = [first.format(f"+1 ({200 + i}) 555-{1000 + i}") for i in range(40)]
+    rows += [t.format(number(i)) for i in range(12) for t in (first, second)]
+    rows += [t.format(number(i)) for i in range(20, 23) for t in (second, third)]
+    rows += [third.format(number(30)), "order number 202-555-0199 was sent"]  # two hops from the seeds, and none
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x["value"] for r in pii.find_spans(d).select("added").collect() for x in r["added"]}
+    assert got == {number(i) for i in (*range(12), 20, 21, 22, 30)}
+
+
 def test_revisits(spark):
     rows = [(1, "http://WWW.a.com:80/x/", 10, 200, '"t1"', None, "d1", {"Content-Length": "5", "Date": "old"}),
             (2, "https://a.com/x#f", 20, 304, 'W/"t1"', None, None, {"content-length": "0", "DATE": "new"}),
