@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import decontamination, jaccard_join, mixing, quality, sharding
 from tallyspark.llm.queries import table
-from tallyspark.llm.text import saved, shared_folder
+from tallyspark.llm.text import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,15 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays (one row of it, if it is repeated)."""
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    # Rows that agree in doc_id and text are one document (blank texts are in no group and all stay).
-    repeats = saved(groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id")))
+    """One row of each group of near duplicates stays, that of the smallest doc_id (null ids come last); blank texts are in no group and all stay."""
+    gone, repeats = (d.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")) for d in jaccard_join.surplus(jaccard_join.grouped(docs)))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (jaccard_join.row_identity("doc_id", "text") == F.col("__row"))
+    stay = docs.join(gone, same, "left_anti")
     if repeats.isEmpty():
         return stay
-    same = stay["doc_id"].eqNullSafe(F.col("__id"))
+    # Rows that agree in doc_id and text are one document.
     return stay.join(repeats, same, "left_anti").unionByName(stay.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

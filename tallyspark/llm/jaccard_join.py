@@ -114,7 +114,7 @@ def _long(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, n, set, low): size and id of each row's token set, and its tokens with the smallest hashes.
+    """(doc_id, row, n, set, low): size and id of each row's token set, and its tokens with the smallest hashes; row is its identity.
 
     ``low`` holds enough of them for the prefix in the order of the hashes, and some more in place of frequent tokens."""
     def run(batches):
@@ -122,10 +122,10 @@ def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         for b in slices(batches):
             sets = [tokens(t) for t in _texts(b, 1)]
             low = [s[:prefix_length(len(s), MAX_MATCHES) + len(s) // 10 + 8].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([set_id(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], ["doc_id", "n", "set", "low"])
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, set long, low binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([set_id(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], ["doc_id", "row", "n", "set", "low"])
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_identity(doc_id, text).alias("row"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, row long, n long, set long, low binary")
 
 
 def prefix_length(n: int, l: int) -> int:
@@ -386,15 +386,35 @@ def similar_classes(docs: DataFrame, sets: DataFrame, text: str, doc_id: str, ma
     return components(links.union(verified(pairs, docs, sets, text, doc_id)))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def row_identity(doc_id: str, text: str):
+    """Rows that agree in doc_id and text are one document."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, row, n, class), one row per row of ``docs``: its identity, how many shingles it has, and its component."""
     path = shared_folder(docs.sparkSession, "sets")
     document_sets(docs, text, doc_id).write.parquet(path)
     sets = docs.sparkSession.read.parquet(path)
     classes = similar_classes(docs, sets, text, doc_id)
-    at = saved(sets.select("doc_id", "n", "set").join(classes, "set", "left").withColumn("class", F.coalesce("class", "set")))
+    at = saved(sets.select("doc_id", "row", "n", "set").join(classes, "set", "left").select("doc_id", "row", "n", F.coalesce("class", "set").alias("class")))
     delete_folder(docs.sparkSession, path)
+    return at
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    at = grouped(docs, text, doc_id)
     # The empty set is nobody's partner.
     least = at.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     return (at.join(least, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def surplus(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row) of the documents that go, and of those that stay and have several rows: of each component of
+    ``grouped`` the one with the smallest doc_id stays (a null one last), of several texts of that doc_id the one with the smallest identity."""
+    at = groups.where("n > 0").groupBy("class", "doc_id", "row").agg(F.count(F.lit(1)).alias("c"))
+    first = at.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    at = saved(at.join(first, "class").select("doc_id", "row", "c", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))).alias("stays")))
+    return at.where(~F.col("stays")).select("doc_id", "row"), at.where("stays AND c > 1").select("doc_id", "row")

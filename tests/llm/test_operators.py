@@ -332,3 +332,18 @@ def test_pipeline(spark, tmp_path, docs):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(60))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} <= set(range(60)) and {r["shard"] for r in out} <= set(range(24))
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    copied, alone, both, other, nameless = text(), text(), text(), text(), text()
+    rows = [(1, copied), (None, copied), (None, alone), (None, None), (None, ""), (7, ""),  # a null id is a copy of 1; other null ids are not
+            (2, both), (3, both), (3, other), (3, other),  # id 3 has a copy and a text of its own, twice
+            (None, nameless), (None, nameless + " more"), (None, nameless + " words"), (None, nameless)]  # near copies without ids
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [tuple(r) for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, d, "").collect()]
+    left = [r for r in stay if not (r[1] or "").startswith(nameless)]
+    assert sorted(left, key=str) == sorted([(1, copied), (None, alone), (None, None), (None, ""), (7, ""), (2, both), (3, other)], key=str)
+    assert len(stay) == len(left) + 1
