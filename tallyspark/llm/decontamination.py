@@ -6,15 +6,18 @@ of the benchmark are hash-joined with those of the documents; matches on one
 alignment (document, item, offset) are gathered, and the values behind the
 placeholders are compared: each value of the item must stand for one value of the
 document throughout. So a question whose numbers and names were swapped consistently
-is caught, and chance hits on templates are not. A document has an item if one
-consistent alignment covers ``min_words`` words of it (or all but the first word of a shorter item).
+is caught, and chance hits on templates are not. What the template leaves out, windows with
+few literal words and items of fewer than five words, has an exact path: all windows are hashed a second
+time over the plain words (lower case, no punctuation). A document has an item if one
+consistent alignment covers ``min_words`` words of it (or all but the first word of a shorter item, or the whole of an item of fewer than five words).
 
 Everything is a column expression or a join. Documents send only (key, position,
 hash) to the join; the benchmark's windows are broadcast when they are counted to be
 few, and joined by shuffle otherwise.
 
 Defined cases. Null, empty or blank text: no window, never contaminated. Windows with
-fewer than half literal words are not used, nor items of fewer than five words. Items that share a passage each count.
+fewer than half literal words, and items of fewer than five words, are found by their plain words only. An item of one or
+two words is no evidence inside a text and is not searched for. Items that share a passage each count.
 Repeated rows (equal doc_id and text) give one result. A null doc_id is kept as null.
 Empty documents or benchmark: no rows. The longest texts are one array per row.
 """
@@ -29,9 +32,10 @@ from tallyspark.llm.text import once, saved, words
 
 WIDTH = 8
 MIN_WORDS = 13
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS = 5  # from which an item has templates
+MIN_EXACT_WORDS = 3
 MAX_BROADCAST_WINDOWS = 1_000_000  # of about 40 bytes each
-NUMBER, NAME, UNIT, PUNCTUATION, LONE = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
+NUMBER, NAME, UNIT, PUNCTUATION, LONE, END = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 # Unit words that become a placeholder.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
          "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
@@ -39,19 +43,35 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
          "cent", "cents", "euro", "euros", "degree", "degrees", "mph", "kph", "watt", "watts", "volt", "volts")
 
 
-def canonical(text: Column) -> Column:
-    """The text with placeholders for numbers, names and units; as many words as before.
+def marked(text: Column) -> Column:
+    """The text in lower case without punctuation, with marks before (and after, for numbers) what a placeholder can replace; as many words as before.
 
     Each expression begins with a character that is rare or cheap to test; lookbehinds come after it.
     """
     word = r"[^\x20\x09-\x0D]"
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER + "$0" + END)
     # A capitalised word inside a sentence: the word before it does not end one.
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:;\x22)]\x20\p{{Lu}})\p{{Ll}}{word}*+", NAME)
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:;\x22)]\x20\p{{Lu}})\p{{Ll}}{word}*+", NAME + "$0")
     t = F.regexp_replace(t, r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]++", PUNCTUATION)
     t = F.regexp_replace(t, rf"\u0004(?<!{word}\u0004)(?!{word})", LONE)
     t = F.lower(F.replace(t, F.lit(PUNCTUATION), F.lit("")))
-    return F.regexp_replace(t, rf"\u0001\x20(?:{'|'.join(UNITS)})(?!{word})", NUMBER + " " + UNIT)
+    return F.regexp_replace(t, rf"\u0006\x20((?:{'|'.join(UNITS)})(?!{word}))", END + " " + UNIT + "$1")
+
+
+def canonical_words(m: Column) -> Column:
+    """The words of a marked text with placeholders for numbers, names and units."""
+    return words(F.regexp_replace(m, r"(\u0001)[^\u0006\x20\x09-\x0D]*+\u0006|([\u0002\u0003])[^\x20\x09-\x0D]*+", "$1$2"))
+
+
+def plain_words(m: Column) -> Column:
+    return words(F.translate(m, NUMBER + NAME + UNIT + END, ""))
+
+
+FORMS = {"canon": canonical_words, "plain": plain_words}
+
+
+def all_forms(text: Column) -> Column:
+    return let(marked(text), lambda m: F.struct(*[f(m).alias(k) for k, f in FORMS.items()]))
 
 
 def window_hashes(w: Column, width: Column | int) -> Column:
@@ -71,19 +91,39 @@ def placed_hashes(w: Column, width: int) -> Column:
     return F.transform(fixed_hashes(w, width), lambda h, i: F.struct(F.lit(width).alias("w"), i.alias("pos"), h.alias("h")))
 
 
+def changed_hashes(w: Column, other: Column, width: int) -> Column:
+    """The windows of ``w`` that differ from those of ``other``, which has as many words."""
+    n = F.size(w) - width
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: ~F.get(w, j).eqNullSafe(F.get(other, j)))
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(F.greatest(j - width + 1, F.lit(0)), F.least(j, n)))))
+    return F.when(n < 0, F.array().cast("array<struct<w:int,pos:int,h:bigint>>")).otherwise(F.transform(starts, lambda i: F.struct(
+        F.lit(width).alias("w"), i.alias("pos"), F.xxhash64(F.array(*[F.get(w, i + k) for k in range(width)])).alias("h"))))
+
+
+def form_hashes(forms: Column, width: int) -> Column:
+    """The window hashes of the first form, and of each other one where it differs from the one before."""
+    names = list(FORMS)
+    return F.concat(placed_hashes(forms[names[0]], width), *[changed_hashes(forms[k], forms[j], width) for j, k in zip(names, names[1:])])
+
+
 def is_slot(w: Column) -> Column:
     return w.rlike("[\u0001-\u0003]")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
-    items = (benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_raw"), words(canonical(F.col(text))).alias("item_canon"))
-             .where((F.size("item_canon") >= MIN_ITEM_WORDS) & (F.size("item_canon") == F.size("item_raw")))
+    items = (benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_raw"), all_forms(F.col(text)).alias("item"))
+             .withColumn("n", F.size("item_raw")).where((F.col("n") >= MIN_EXACT_WORDS) & (F.size("item.canon") == F.col("n")) & (F.size("item.plain") == F.col("n")))
              # Whether the first word is a name depends on what stands before it, so a window need not hold it.
-             .withColumn("w", F.least(F.size("item_canon") - 1, F.lit(width))))
-    at = F.posexplode(window_hashes(F.col("item_canon"), F.col("w"))).alias("ipos", "h")
-    wins = items.select("item_id", "w", "item_canon", at)
-    literal = F.size(F.filter(F.slice(F.col("item_canon"), F.col("ipos") + 1, F.col("w")), lambda x: ~is_slot(x)))
-    return items, wins.where(2 * literal >= F.col("w")).select("item_id", "w", "ipos", "h").distinct()
+             .withColumn("w", F.when(F.col("n") < MIN_ITEM_WORDS, F.col("n")).otherwise(F.least(F.col("n") - 1, F.lit(width)))))
+    wins = None
+    for k in FORMS:
+        some = items.select("item_id", "n", "w", F.col(f"item.{k}").alias("words"), F.posexplode(window_hashes(F.col(f"item.{k}"), F.col("w"))).alias("ipos", "h"))
+        literal = F.size(F.filter(F.slice(F.col("words"), F.col("ipos") + 1, F.col("w")), lambda x: ~is_slot(x)))
+        if k != "plain":
+            some = some.where((F.col("n") >= MIN_ITEM_WORDS) & (2 * literal >= F.col("w")))
+        some = some.select("item_id", "w", "ipos", "h")
+        wins = some if wins is None else wins.union(some)
+    return items.drop("n"), wins.distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS, text: str = "text",
@@ -94,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     widths = [r["w"] for r in windows.select("w").distinct().orderBy("w").collect()]  # at most ``width`` numbers
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     if widths:
-        hashes = let(words(canonical(F.col("text"))), lambda w: F.flatten(F.array(*[placed_hashes(w, k) for k in widths])))
+        hashes = let(all_forms(F.col("text")), lambda x: F.flatten(F.array(*[form_hashes(x, k) for k in widths])))
     else:
         hashes = F.array().cast("array<struct<w:int,pos:int,h:bigint>>")
     sent = base.select("key", once(hashes).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.*")
@@ -102,16 +142,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     hits = sent.join(F.broadcast(windows) if small else windows, ["w", "h"])
     aligned = saved(hits.groupBy("key", "item_id", "w", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at")))
     texts = base.join(aligned.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    texts = texts.select("key", "doc_id", words(F.col("text")).alias("raw"), words(canonical(F.col("text"))).alias("canon"))
+    texts = texts.select("key", "doc_id", words(F.col("text")).alias("raw"), all_forms(F.col("text")).alias("doc"))
     a = aligned.join(texts, "key").join(items.drop("w"), "item_id")
     covered = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.sequence(p, p + F.col("w") - 1))))
-    a = a.withColumn("covered", F.filter(covered, lambda i: F.get(F.col("canon"), i + F.col("offset")) == F.get(F.col("item_canon"), i)))
+    a = a.withColumn("covered", F.filter(covered, lambda i: F.greatest(*[
+        F.get(F.col(f"doc.{k}"), i + F.col("offset")) == F.get(F.col(f"item.{k}"), i) for k in FORMS])))
     bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
-    slots = F.array_distinct(F.transform(F.filter(F.col("covered"), lambda i: is_slot(F.get(F.col("item_canon"), i))), lambda i: F.struct(
-        F.get(F.col("item_canon"), i).alias("kind"), bare(F.get(F.col("item_raw"), i)).alias("old"), bare(F.get(F.col("raw"), i + F.col("offset"))).alias("new"))))
-    a = a.withColumn("slots", slots).withColumn("item_words", F.size("item_canon")).withColumn("n_words", F.size("covered"))
+    slots = F.array_distinct(F.transform(F.filter(F.col("covered"), lambda i: is_slot(F.get(F.col("item.canon"), i))), lambda i: F.struct(
+        F.get(F.col("item.canon"), i).alias("kind"), bare(F.get(F.col("item_raw"), i)).alias("old"), bare(F.get(F.col("raw"), i + F.col("offset"))).alias("new"))))
+    a = a.withColumn("slots", slots).withColumn("item_words", F.size("item_raw")).withColumn("n_words", F.size("covered"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["old"])))) == F.size("slots")
-    return (a.where(consistent & (F.col("n_words") >= F.least(F.col("item_words") - 1, F.lit(min_words))))
+    return (a.where(consistent & (F.col("n_words") >= F.when(F.col("item_words") < MIN_ITEM_WORDS, F.col("item_words")).otherwise(F.least(F.col("item_words") - 1, F.lit(min_words)))))
             .groupBy("key", "doc_id", "item_id", "item_words")
             .agg(F.max(F.struct("n_words", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda s: s["old"] != s["new"])).alias("n_changed"))).alias("best"))
             .select("key", "doc_id", "item_id", F.col("best.n_words").cast("long").alias("n_words"), F.col("item_words").cast("long").alias("item_words"),

@@ -313,6 +313,17 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(empty, b).count() == 0 and decontamination.contaminated(d, b.where("false")).count() == 0
 
 
+def test_decontamination_exact(spark):
+    items = [(1, "Harry Potter And The Philosopher Stone Was Written By Joanne Rowling And Sold In Britain"), (2, "Is Paris In France Or Spain"),
+             (3, "Name three primes"), (4, "What is 17 squared"), (5, "who wrote the Iliad and the Odyssey in Greek")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"Some words before it. {t} - and some words after it.") for i, t in items] + [
+        (11, "he asked: is paris in france, or spain?"), (12, "What is 18 squared"), (13, "Some Title With Every Word Written In Capital Letters And Then Some More Of Them"),
+        (14, "Is Berlin In Poland Or Denmark"), (15, "name three of the primes")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(1, 6)} | {(11, 2)}
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
     rng = random.Random(4)
