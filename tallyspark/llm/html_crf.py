@@ -8,7 +8,8 @@ gradients, AdaGrad) on labelled pages and decoded by Viterbi on every page.
 
 Labelled pages come from ``labelled_pages``: layouts that place text in known parts
 (article, menus, banners, sidebars, notices, adverts, forms, comments) under varied
-markup, so that the label of every block is known. Their number is a parameter; the
+markup, so that the label of every block is known; some notices and footers are long, with their telling
+words anywhere, and some articles use such words in passing. Their number is a parameter; the
 weights are a few hundred numbers, trained once per run in the driver and broadcast.
 Decoding runs in tasks, page by page, and carries nothing between pages.
 
@@ -25,6 +26,7 @@ import html as entities
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +142,7 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 SENTENCE = re.compile(r"[.!?;:,](?:\s|$)")
-# Words of buttons, notices and credits; one feature tells whether a block has any.
+# Words of buttons, notices and credits; one feature tells how dense they are in a block.
 CONTROL = re.compile(r"\b(?:cookies?|subscribe|sign (?:in|up)|log ?in|newsletter|advert\w*|sponsored|copyright|all rights reserved|share|reply|privacy|accept|submit|search|terms)\b|©", re.I)
 
 
@@ -155,9 +157,10 @@ def _ancestor_features(path: tuple[str, ...], names: tuple[str, ...]) -> tuple[s
 def features(b: Block, first: bool, last: bool) -> list[str]:
     n = len(b.text)
     linked = min(4, 4 * b.linked // max(1, n))
-    out = ["bias", f"len:{min(8, n.bit_length())}", f"links:{linked}", f"marks:{min(3, len(SENTENCE.findall(b.text[:2000])))}", *_ancestor_features(b.path, b.names)]
-    if CONTROL.search(b.text[:500]):
-        out.append("control")
+    out = ["bias", f"len:{min(8, n.bit_length())}", f"links:{linked}", f"marks:{min(3, sum(1 for _ in islice(SENTENCE.finditer(b.text), 3)))}", *_ancestor_features(b.path, b.names)]
+    controls = len(CONTROL.findall(b.text))
+    if controls:  # by the code points to one of them, in powers of two: an article that has one in passing is no notice
+        out.append(f"control:{min(12, (n // controls).bit_length())}")
     if first:
         out.append("first")
     if last:
@@ -261,7 +264,14 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
     def prose() -> str:
         if rng.random() < 0.12:  # a paragraph of one word that no other block has
             return (word() + "".join(syllables[int(d)] for d in str(next(serial)))).capitalize() + rng.choice(["", "."])
-        return " ".join(sentence(2, 16) for _ in range(rng.choice([1, 1, 2, 3, 6])))
+        text = [w for _ in range(rng.choice([1, 1, 2, 3, 6, 12])) for w in sentence(2, 16).split()]
+        if len(text) > 50 and rng.random() < 0.3:  # a word of notices in passing
+            text.insert(rng.randrange(1, len(text)), rng.choice(["search", "share", "terms", "reply", "submit", "accept", "privacy", "cookies"]))
+        return " ".join(text)
+
+    def terms() -> str:
+        telling = ["All rights reserved.", "Copyright by the owners.", "Privacy and terms apply.", "We use cookies.", "Subscribe to the newsletter.", "Sign in to share and reply.", "Accept the cookies."]
+        return " ".join([sentence(6, 16) for _ in range(rng.randint(1, 12))] + rng.sample(telling, rng.randint(3, 6)))
 
     pages = []
     for _ in range(n):
@@ -288,6 +298,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
             "comments": lambda: around(["section", "div", "ol"], ["comments", "comment", "discussion", "replies", "responses"], f"<h3>{sentence(1, 3)}</h3>" + "".join(
                 rng.choice([f'<div class="comment"><p>{prose()}</p></div>', f"<li>{prose()}</li>", f"<article><p>{prose()}</p></article>"]) for _ in range(rng.randint(1, 3)))),
             "footer": lambda: around(["footer", "footer", "div"], ["footer", "copyright", "legal", "bottom"], rng.choice([f"&copy; {word()} &middot; {sentence(2, 6)}", p(), items()])),
+            "legal": lambda: rng.choice([f"<div><p>{terms()}</p></div>", f"<p>{terms()}</p>", around(["footer", "div"], ["footer", "copyright", "legal", "notice"], f"<p>{terms()}</p>")]),
             "share": lambda: around(["div", "ul"], ["share", "social", "tags", "toolbar"], f'<a href="#">{word()}</a> <a href="#">{word()}</a>'),
         }
         body = [own("h1", sentence(2, 10))] if rng.random() < 0.85 else []
@@ -304,7 +315,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
         elif wrap != "body":
             inner = f"<{wrap}>{inner}</{wrap}>"
         before = "".join(boiler[k]() for k in ("header", "menu", "notice", "ad", "side", "form") if rng.random() < 0.4)
-        after = "".join(boiler[k]() for k in ("share", "form", "comments", "ad", "side", "notice", "footer") if rng.random() < 0.4)
+        after = "".join(boiler[k]() for k in ("share", "form", "comments", "ad", "side", "notice", "legal", "footer") if rng.random() < 0.4)
         pages.append((f"<html><body>{before}{inner}{after}</body></html>", [" ".join(entities.unescape(x).split()) for x in main]))
     return pages
 

@@ -254,6 +254,17 @@ def test_html(spark):
     assert got == {1: "Title & more\n\nFirst part, of it. Second half of the text.\n\nLast one here, with more words.", 2: "", 3: "", 4: ""}
 
 
+def test_html_reads_whole_blocks():
+    chain = html_crf.fit(200)
+    plain = "Kalo miren tasvor beldun estari onulpre sentor galhin lomi renka vorbel dunest arion ulpre sengal hintas. "
+    story = plain * 3 + "They went on to search the valley before noon. " + plain * 8
+    notice = plain * 6 + "All rights reserved. Privacy and terms apply. We use cookies. Accept the cookies. Subscribe to the newsletter."
+    page = f"<html><body><article><h1>{plain}</h1><p>{plain * 9}</p><p>{story}</p></article><div><p>{notice}</p></div></body></html>"
+    assert html_crf.main_text(page, chain).split("\n\n") == [x.strip() for x in (plain, plain * 9, story)]
+    block = html_crf.leaf_blocks(f"<p>{'word ' * 500}one. two. three, four.</p>")[0]
+    assert "marks:3" in html_crf.features(block, True, True)
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
