@@ -1,14 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units (after a number) in a text become typed placeholders, other words lose case
-and punctuation. Windows of ``width`` canonical words (one word less than a shorter item)
+Numbers, names and units in a text become typed placeholders, other words lose case
+and punctuation; white space of any kind and length is one space. Windows of ``width`` canonical words (one word less than a shorter item)
 of the benchmark are hash-joined with those of the documents; matches on one
 alignment (document, item, offset) are gathered, and the values behind the
 placeholders are compared: each value of the item must stand for one value of the
 document throughout. So a question whose numbers and names were swapped consistently
 is caught, and chance hits on templates are not. What the template leaves out, windows with
-few literal words and items of fewer than five words, has an exact path: all windows are hashed a second
-time over the plain words (lower case, no punctuation). A document has an item if one
+few literal words and items of fewer than five words, has an exact path: all windows are also
+hashed over the plain words (lower case, no punctuation), and, for copies in another case, over the words with
+placeholders for numbers and units only. A document has an item if one
 consistent alignment covers ``min_words`` words of it (or all but the first word of a shorter item, or the whole of an item of fewer than five words).
 
 Everything is a column expression or a join. Documents send only (key, position,
@@ -37,10 +38,17 @@ MIN_EXACT_WORDS = 3
 MAX_BROADCAST_WINDOWS = 1_000_000  # of about 40 bytes each
 NUMBER, NAME, UNIT, PUNCTUATION, LONE, END = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 # Unit words that become a placeholder.
-UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
-         "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "second", "seconds", "minute",
-         "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars",
-         "cent", "cents", "euro", "euros", "degree", "degrees", "mph", "kph", "watt", "watts", "volt", "volts")
+UNITS = ("mm", "cm", "m", "km", "millimeter", "millimeters", "millimetre", "millimetres", "centimeter", "centimeters", "centimetre", "centimetres", "meter", "meters",
+         "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg",
+         "milligram", "milligrams", "gram", "grams", "kilogram", "kilograms", "kilo", "kilos", "pound", "pounds", "lb", "lbs", "ounce", "ounces", "oz", "ton", "tons", "tonne", "tonnes",
+         "ml", "cl", "l", "milliliter", "milliliters", "millilitre", "millilitres", "liter", "liters", "litre", "litres", "gallon", "gallons", "quart", "quarts", "pint", "pints",
+         "cup", "cups", "teaspoon", "teaspoons", "tablespoon", "tablespoons", "acre", "acres", "hectare", "hectares", "millisecond", "milliseconds", "second", "seconds", "minute",
+         "minutes", "hour", "hours", "hr", "hrs", "day", "days", "week", "weeks", "month", "months", "year", "years", "decade", "decades", "century", "centuries", "percent",
+         "dollar", "dollars", "usd", "cent", "cents", "euro", "euros", "eur", "penny", "pence", "rupee", "rupees", "yen", "peso", "pesos", "degree", "degrees", "celsius", "fahrenheit",
+         "kelvin", "mph", "kph", "knot", "knots", "watt", "watts", "kw", "kwh", "kilowatt", "kilowatts", "volt", "volts", "amp", "amps", "ohm", "ohms", "joule", "joules", "calorie",
+         "calories", "newton", "newtons", "hertz", "hz", "khz", "mhz", "byte", "bytes", "kb", "mb", "gb")
+# The same by first letter, so that other words fail at it.
+UNIT_WORD = "|".join(f"{c}(?:{'|'.join(sorted(u[1:] for u in UNITS if u[0] == c))})" for c in sorted({u[0] for u in UNITS}))
 
 
 def marked(text: Column) -> Column:
@@ -49,13 +57,14 @@ def marked(text: Column) -> Column:
     Each expression begins with a character that is rare or cheap to test; lookbehinds come after it.
     """
     word = r"[^\x20\x09-\x0D]"
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER + "$0" + END)
+    t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]{2,}+|[\x09-\x0D]", " ")
+    t = F.regexp_replace(t, r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER + "$0" + END)
     # A capitalised word inside a sentence: the word before it does not end one.
     t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:;\x22)]\x20\p{{Lu}})\p{{Ll}}{word}*+", NAME + "$0")
     t = F.regexp_replace(t, r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]++", PUNCTUATION)
     t = F.regexp_replace(t, rf"\u0004(?<!{word}\u0004)(?!{word})", LONE)
     t = F.lower(F.replace(t, F.lit(PUNCTUATION), F.lit("")))
-    return F.regexp_replace(t, rf"\u0006\x20((?:{'|'.join(UNITS)})(?!{word}))", END + " " + UNIT + "$1")
+    return F.regexp_replace(t, rf"([\x20\u0006])((?:{UNIT_WORD})(?!{word}))", "$1" + UNIT + "$2")
 
 
 def canonical_words(m: Column) -> Column:
@@ -63,15 +72,26 @@ def canonical_words(m: Column) -> Column:
     return words(F.regexp_replace(m, r"(\u0001)[^\u0006\x20\x09-\x0D]*+\u0006|([\u0002\u0003])[^\x20\x09-\x0D]*+", "$1$2"))
 
 
+def half_words(m: Column) -> Column:
+    """The words of a marked text with placeholders for numbers and units."""
+    return words(F.translate(F.regexp_replace(m, r"(\u0001)[^\u0006\x20\x09-\x0D]*+\u0006|(\u0003)[^\x20\x09-\x0D]*+", "$1$2"), NAME + END, ""))
+
+
 def plain_words(m: Column) -> Column:
     return words(F.translate(m, NUMBER + NAME + UNIT + END, ""))
 
 
-FORMS = {"canon": canonical_words, "plain": plain_words}
+FORMS = ("canon", "half", "plain")
 
 
 def all_forms(text: Column) -> Column:
-    return let(marked(text), lambda m: F.struct(*[f(m).alias(k) for k, f in FORMS.items()]))
+    """The forms as arrays of words; one without marks to tell it from the form before is not made again."""
+    def forms(m: Column) -> Column:
+        typed = m.contains(NUMBER) | m.contains(UNIT)
+        return let(F.when(typed | m.contains(NAME), canonical_words(m)).otherwise(words(m)), lambda c: let(
+            F.when(m.contains(NAME), half_words(m)).otherwise(c), lambda h: F.struct(
+                c.alias("canon"), h.alias("half"), F.when(typed, plain_words(m)).otherwise(h).alias("plain"))))
+    return let(marked(text), forms)
 
 
 def window_hashes(w: Column, width: Column | int) -> Column:
@@ -96,14 +116,13 @@ def changed_hashes(w: Column, other: Column, width: int) -> Column:
     n = F.size(w) - width
     at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: ~F.get(w, j).eqNullSafe(F.get(other, j)))
     starts = F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(F.greatest(j - width + 1, F.lit(0)), F.least(j, n)))))
-    return F.when(n < 0, F.array().cast("array<struct<w:int,pos:int,h:bigint>>")).otherwise(F.transform(starts, lambda i: F.struct(
+    return F.when((n < 0) | (w == other), F.array().cast("array<struct<w:int,pos:int,h:bigint>>")).otherwise(F.transform(starts, lambda i: F.struct(
         F.lit(width).alias("w"), i.alias("pos"), F.xxhash64(F.array(*[F.get(w, i + k) for k in range(width)])).alias("h"))))
 
 
 def form_hashes(forms: Column, width: int) -> Column:
     """The window hashes of the first form, and of each other one where it differs from the one before."""
-    names = list(FORMS)
-    return F.concat(placed_hashes(forms[names[0]], width), *[changed_hashes(forms[k], forms[j], width) for j, k in zip(names, names[1:])])
+    return F.concat(placed_hashes(forms[FORMS[0]], width), *[changed_hashes(forms[k], forms[j], width) for j, k in zip(FORMS, FORMS[1:])])
 
 
 def is_slot(w: Column) -> Column:

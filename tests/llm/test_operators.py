@@ -335,6 +335,19 @@ def test_decontamination_exact(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(1, 6)} | {(11, 2)}
 
 
+def test_decontamination_units_and_wraps(spark):
+    items = [(1, "A train goes from the old town to Paris and back in 5 hours at 60 miles per hour, so how many miles did Alice ride if she went twice?"),
+             (2, "How many feet are in the wall"), (3, "the farmer pours 12 gallons of milk from the tank")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = items[0][1]
+    swapped = one.replace("miles", "kilometers").replace("60", "95").replace("Alice", "Carol")
+    rows = [(1, "Intro: " + swapped), (2, one.replace(" ", "\n")), (3, swapped.replace("to Paris", "to \r\n Paris").replace("95 ", "95\n\t")),
+            (4, one.lower()), (5, one.lower().replace("60", "75").replace("5 hours", "7 days")), (6, "Next. How many metres are in the wall"),
+            (7, "the farmer pours 15\nliters of milk from the tank"), (8, "How many birds are in the wall")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, 1) for i in range(1, 6)} | {(6, 2), (7, 3)}
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
     rng = random.Random(4)
