@@ -4,9 +4,9 @@ A line's key is the line stripped of white space and lower-cased (A-Z); its hash
 has 128 bits. Documents come in batches. Each batch is reduced to one row per key
 (hash, number of documents, largest doc_id) and written as a sorted run of level
 0; when a level has ``fanout`` runs they are merged into one run of the next level
-(a sort-merge aggregation by hash), so a table of B batches is re-written about
+(a grouped sum by hash; it does not use the sort order), so a table of B batches is re-written about
 log(B) times. A batch can be anti-joined against the runs (``unseen``): what is
-left are the lines that no earlier batch has.
+left are the lines that no earlier batch has. ``drop_repeated_lines`` does not use it.
 
 ``drop_repeated_lines`` applies it to a table. Whether a line goes depends on the
 whole table (number of documents, largest doc_id), so all batches are added first;
