@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontamination, html_crf, jaccard_join, line_dedup, mixing, pii, quality, revisits, sharding, token_counts
+from tallyspark.llm import (decontamination, html_crf, jaccard_join, language_crf, line_dedup, mixing, periodic, pii, quality, revisits, sharding,
+                            token_counts, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op11_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    chain = language_crf.fit(docs.where(~held_out))
+    d = language_crf.predict(docs.select("doc_id", "text"), chain)
+    return d.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=periodic.repeat_tail).withColumn("best", periodic.longest(F.col("runs")))
+    best = F.col("best")
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                    F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2(periodic.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, model = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), n_components=16)
+    explained = F.array(*[F.lit(float(e)) for e in (model.explained if model else [])]).cast("array<double>")
+    d = d.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return d.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+                    F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -81,6 +106,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_language_crf": op11_language_crf,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 MIX_SQL = r"""
