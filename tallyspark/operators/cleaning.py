@@ -30,8 +30,8 @@ def price_key(c):
     return c.try_cast(PRICE_KEY)
 
 
-def parse_raw(raw: DataFrame, case_insensitive: bool = False) -> DataFrame:
-    """Row-local parsing of the eleven raw columns.
+def parse_raw(raw: DataFrame, case_insensitive: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Row-local parsing of the eleven raw columns; the columns in ``keep`` are passed on.
 
     Text columns are whitespace-normalised and null-token mapped; numbers are
     parsed (garbage -> null); the date is strictly parsed and re-emitted as ISO
@@ -41,18 +41,19 @@ def parse_raw(raw: DataFrame, case_insensitive: bool = False) -> DataFrame:
     Written as stacked projections so each regular expression runs once per
     value (Catalyst does not collapse projections that would repeat them).
     """
-    stripped = raw.select(*[X.strip_text(F.col(c)).alias(c) for c in RAW_COLUMNS])
+    keep = keep or []
+    stripped = raw.select(*[X.strip_text(F.col(c)).alias(c) for c in RAW_COLUMNS], *keep)
     tokened = stripped.select(
         *[X.null_token(F.col(c), case_insensitive).alias(c) for c in TEXT_COLUMNS + NUMERIC_COLUMNS],
         F.col("transaction_date").alias("_date_text"),
         F.lower(F.col("discount_applied")).alias("_disc"),
-        X.null_token(F.col("discount_applied"), True).isNull().alias("_disc_missing"))
+        X.null_token(F.col("discount_applied"), True).isNull().alias("_disc_missing"), *keep)
     numbers = tokened.select(
         *[F.col(c) for c in TEXT_COLUMNS],
         *[F.when(F.col(c).rlike(X.NUMBER_PATTERN), F.col(c).try_cast("double")).alias(c) for c in NUMERIC_COLUMNS],
         *[F.col(c).isNotNull().alias(f"_present_{c}") for c in NUMERIC_COLUMNS],
         F.when(F.col("_date_text").rlike(X.DATE_PATTERN), F.col("_date_text").try_cast("date")).alias("_date"),
-        "_disc", "_disc_missing")
+        "_disc", "_disc_missing", *keep)
     codes = None
     for key, code in X.DISCOUNT_CODES.items():
         cond = F.col("_disc") == key
@@ -66,7 +67,8 @@ def parse_raw(raw: DataFrame, case_insensitive: bool = False) -> DataFrame:
         F.when(F.col("_disc_missing"), "missing")
          .when(F.col("_disc").isin(list(X.DISCOUNT_CODES)), "mapped")
          .otherwise("unexpected").alias("_discount_outcome"),
-    ).select(*RAW_COLUMNS, "_date", *[f"_bad_{c}" for c in NUMERIC_COLUMNS], "_discount_outcome")
+        *keep,
+    ).select(*RAW_COLUMNS, "_date", *[f"_bad_{c}" for c in NUMERIC_COLUMNS], "_discount_outcome", *keep)
 
 
 def derive_price(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -79,7 +81,7 @@ def derive_price(df: DataFrame, strict: bool = False) -> DataFrame:
     """
     p, q, t = F.col("price_per_unit"), F.col("quantity"), F.col("total_spent")
     mask = p.isNull() & q.isNotNull() & (q != 0) & t.isNotNull()
-    derived = t / q
+    derived = F.try_divide(t, q)
     if strict:
         mask = mask & (derived > 0) & N.isclose_symmetric(derived * q, t)
     return (df.withColumn("_price_recorded", p)
@@ -205,8 +207,8 @@ def add_audit_columns(df: DataFrame) -> DataFrame:
 
 
 def clean_parsed(parsed: DataFrame, *, strict_price: bool = False, quantity_mode: str | bool = "auto",
-                 buckets: int = DEFAULT_BUCKETS, keep_internal: bool = False) -> DataFrame:
-    """Cleaning rules after ``parse_raw``.
+                 buckets: int = DEFAULT_BUCKETS, keep_internal: bool = False, bounds: DataFrame | None = None) -> DataFrame:
+    """Cleaning rules after ``parse_raw``; ``bounds`` (one row, see ``iqr_bounds``) are computed here if not given.
 
     Order of rules: derive price -> item lookup (map from recorded prices,
     applied to recorded-or-derived prices) -> whole-quantity cast ->
@@ -222,7 +224,7 @@ def clean_parsed(parsed: DataFrame, *, strict_price: bool = False, quantity_mode
     audited = add_audit_columns(flagged)
     # Quartiles depend only on the parsed totals, so they are computed from
     # the parsed table (before the lookup join), not from the imputed one.
-    bounded = flag_outliers(audited, iqr_bounds(parsed, buckets=buckets))
+    bounded = flag_outliers(audited, iqr_bounds(parsed, buckets=buckets) if bounds is None else bounds)
     if keep_internal:
         return bounded
     return bounded.select(*CLEAN_COLUMNS)

@@ -95,7 +95,10 @@ def q_clean_from_raw(spark, sf_dir):
     return C.clean(retail_raw(spark, sf_dir))
 
 
-@register("content_fingerprint")
+@register("content_fingerprint", f"""
+SELECT count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS bag_hash,
+       CAST(sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT) AS VARCHAR) AS bag_hash_2
+FROM (SELECT md5(concat_ws(chr(31), {", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in C.RAW_COLUMNS)})) AS h FROM ({RAW_SQL}))""")
 def q_content_fingerprint(spark, sf_dir):
     from tallyspark.sources.files import content_fingerprint
     return content_fingerprint(raw(spark, sf_dir))
@@ -831,12 +834,12 @@ def q_default_period(spark, sf_dir):
 
 
 def queries():
-    from tallyspark.plans import analytics  # noqa: F401  (registers statistics / model queries)
+    from tallyspark.plans import analytics, faulty  # noqa: F401  (register statistics / model queries and those over faulty rows)
     return dict(_Q)
 
 
 def oracle_sql():
-    from tallyspark.plans import analytics  # noqa: F401
+    from tallyspark.plans import analytics, faulty  # noqa: F401
     out = dict(_SQL)
     cols = ", ".join(C.CLEAN_COLUMNS)
     out["full_duplicates"] = out["full_duplicates"].replace("ALL_COLUMNS_PLACEHOLDER", cols)

@@ -31,8 +31,8 @@ def code_signature() -> str:
     from tallyspark import schema
     from tallyspark.functions import calendar, numeric, text
     from tallyspark.operators import cleaning, ranks
-    from tallyspark.sources import adapter
-    src = "".join(inspect.getsource(m) for m in (schema, text, numeric, calendar, cleaning, ranks, adapter))
+    from tallyspark.sources import adapter, dirty
+    src = "".join(inspect.getsource(m) for m in (schema, text, numeric, calendar, cleaning, ranks, adapter, dirty))
     return hashlib.sha1(src.encode()).hexdigest()[:12]
 
 

@@ -7,6 +7,7 @@ checked against a second engine on the same Parquet tables.
 from __future__ import annotations
 
 from tallyspark.sources.adapter import RAW_SQL
+from tallyspark.sources.dirty import FAULTY_SQL
 
 # RE2 class of Unicode whitespace as Python's str.isspace sees it.
 WS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -36,8 +37,10 @@ _texts = ",\n       ".join(f"{tok(c)} AS {c}" for c in TEXT)
 _nums = ",\n       ".join(f"{num(tok(c))} AS {c}" for c in NUMS)
 _bad = ",\n       ".join(f"({tok(c)} IS NOT NULL AND {num(tok(c))} IS NULL) AS bad_{c}" for c in NUMS)
 
-CLEAN_CTE = f"""
-raw AS ({RAW_SQL}),
+def clean_cte(raw_sql: str, quantity: str) -> str:
+    """The cleaning CTEs over a raw table; ``quantity`` is the quantity's expression in the cleaned table."""
+    return f"""
+raw AS ({raw_sql}),
 s AS (SELECT {_stripped} FROM raw),
 parsed AS (
   SELECT {_texts},
@@ -76,13 +79,13 @@ bounds AS (
   FROM (SELECT quantile_cont(total_spent, [0.25, 0.75]) AS q FROM parsed WHERE total_spent IS NOT NULL)),
 cleanx AS (
   SELECT transaction_id, customer_id, category, item, price_per_unit,
-         CAST(quantity AS BIGINT) AS quantity, total_spent, payment_method, location,
+         {quantity} AS quantity, total_spent, payment_method, location,
          strftime(d, '%Y-%m-%d') AS transaction_date, discount_applied,
          CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name,
          'Q' || CAST(quarter(d) AS VARCHAR) AS quarter, dayname(d) AS weekday,
          item_imputed, price_imputed,
          CASE WHEN price_per_unit IS NOT NULL AND quantity IS NOT NULL AND total_spent IS NOT NULL
-                   AND NOT (abs(price_per_unit * CAST(quantity AS BIGINT) - total_spent) <= 1e-9 + 1e-9 * abs(total_spent))
+                   AND NOT (abs(price_per_unit * {quantity} - total_spent) <= 1e-9 + 1e-9 * abs(total_spent))
               THEN 'Yes' ELSE 'No' END AS arithmetic_issue,
          CASE WHEN total_spent IS NOT NULL AND NOT (total_spent BETWEEN b.lower_bound AND b.upper_bound)
               THEN 'Yes' ELSE 'No' END AS total_outlier_iqr,
@@ -102,6 +105,14 @@ clean AS (
 """
 
 
+CLEAN_CTE = clean_cte(RAW_SQL, "CAST(quantity AS BIGINT)")
+
+
 def with_clean(select: str) -> str:
     """Oracle query over the cleaned table: ``WITH <cleaning CTEs> <select>``."""
     return f"WITH {CLEAN_CTE},\nq AS ({select})\nSELECT * FROM q"
+
+
+def with_faulty(select: str) -> str:
+    """The same over the raw view with faults, whose quantities are not all whole numbers."""
+    return f"WITH {clean_cte(FAULTY_SQL, 'quantity')},\nq AS ({select})\nSELECT * FROM q"
