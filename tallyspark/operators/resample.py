@@ -1,29 +1,74 @@
 """Cluster bootstrap of a difference of channel means (H9, D3).
 
-Facts are reduced once to partial sums per (cluster, channel); a replicate
-draws K clusters with replacement and re-aggregates those partial sums with
-the draw multiplicities as weights. Work is R x K draw rows plus a join with
-at most 2K partial-sum rows, never R copies of the table.
-
-Draws are md5 bits of (seed, replicate, draw), so the result does not depend
-on partitioning, task retries or the engine (the same expression exists in
-SQL). It does not reproduce NumPy's generator stream, so intervals agree with
+Facts are reduced once to partial sums per cluster. A replicate draws K clusters
+with replacement; how often each cluster is drawn is a multinomial count, and it
+is made by binary splitting: the K draws fall on buckets of ``BUCKET`` clusters
+by halving the bucket range, where the left half gets a binomial share of the
+draws, until each bucket of each replicate knows its number of draws. That is a
+chain of row-local steps over R x K / ``BUCKET`` rows: no array of K draws, no
+shuffle of draws. Then each bucket makes its own draws against its own partial
+sums (an array of at most ``BUCKET`` entries), and only one row of sums per
+replicate and bucket is shuffled.
+
+All randomness is counter based: the bits are MD5 of (seed, replicate, bucket
+range, step), so the result does not depend on partitioning, task retries or the
+engine; the same steps exist in SQL. A binomial(n, p) is exact for p = left /
+size: the draws compare random bits with the binary digits of p, each digit
+decides half of the rest. The generator is not NumPy's, so intervals agree with
 the reference only statistically.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.ranks import exact_quantiles, row_index
+from tallyspark.session import checkpoint_dir
+
+BUCKET = 512
+BROADCAST_CLUSTERS = 250_000  # partial sums of so many clusters (40 bytes each) are broadcast; more are joined by a shuffle
+DIGITS = 48  # binary digits of p that are compared; a draw is undecided after them with probability 2^-48 and goes right
+MICRO = 1_000_000  # money is summed in millionths, exactly
+
+
+# The expressions are Spark SQL text: some hundred Column calls per level would take longer to build than to run.
+# A lambda has no common subexpressions, so a value that is used twice is bound once, as the only element of an array.
+
+def random_bits(digest: str, at: int) -> str:
+    """60 of an MD5 digest's bits, from hexadecimal digit ``at`` on."""
+    return f"cast(conv(substring({digest}, {at}, 15), 16, 10) AS bigint)"
 
 
-def draw_index(seed: int, rep, draw, k) -> F.Column:
-    """Cluster index in [0, k) of one draw."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), draw.cast("string"))),
-                           1, 8), 16, 10).cast("long")
-    return h % k
+def ones_among(n: str, counters: str) -> str:
+    """How many of ``n`` random bits are one; each digest gives 120 bits."""
+    def ones(at: int, bits: str) -> str:
+        return f"bit_count({random_bits('digest', at)} & (shiftleft(1L, cast(greatest(least({bits}, 60L), 0L) AS int)) - 1L))"
+    return (f"aggregate(sequence(0L, ({n} - 1) div 120), 0L, (total, k) -> total + transform(array(md5(concat_ws(':', {counters}, k))), "
+            f"digest -> {ones(1, f'{n} - k * 120')} + {ones(16, f'{n} - k * 120 - 60')})[0])")
+
+
+def binomial(n: str, part: str, size: str, counters: str) -> str:
+    """Binomial(n, part / size), exact, from the counters' bits."""
+    # A draw whose bit is one stays undecided; the others are below p if p's digit is one, above it if not.
+    return (f"aggregate(sequence(0, {DIGITS - 1}), named_struct('u', {n}, 's', 0L, 'r', {part}), "
+            f"(state, i) -> CASE WHEN state.u = 0 THEN state ELSE transform(array({ones_among('state.u', f'{counters}, i')}), kept -> named_struct("
+            f"'u', kept, 's', state.s + IF(2 * state.r >= {size}, state.u - kept, 0L), 'r', 2 * state.r - IF(2 * state.r >= {size}, {size}, 0L)))[0] END, "
+            "state -> state.s)")
+
+
+def split_draws(spark: SparkSession, reps: int, clusters: int, seed: int, bucket: int = BUCKET) -> DataFrame:
+    """(rep, bucket, n): how many of a replicate's ``clusters`` draws fall on each bucket; buckets without draws are absent."""
+    buckets = -(-clusters // bucket)
+    border = lambda x: f"least(({x}) * {bucket}L, {clusters}L)"
+    middle = "(lo + hi) div 2"
+    left = binomial("n", f"{border(middle)} - {border('lo')}", f"({border('hi')} - {border('lo')})", f"'{seed}', rep, lo, hi")
+    halves = (f"IF(hi - lo > 1, array(struct(lo, {middle} AS hi, m AS n), struct({middle} AS lo, hi, n - m AS n)), array(struct(lo, hi, n)))")
+    rows = spark.range(reps).selectExpr("id AS rep", "0L AS lo", f"{buckets}L AS hi", f"{clusters}L AS n")
+    for _ in range((buckets - 1).bit_length()):
+        # inline_outer, as the optimizer adds no filter on the array to it, which would compute the binomial again.
+        rows = rows.selectExpr("*", f"IF(hi - lo > 1, {left}, 0L) AS m").selectExpr("rep", f"inline_outer({halves})")
+    return rows.where("n > 0").selectExpr("rep", "lo AS bucket", "n")
 
 
 def cluster_bootstrap_diff(df: DataFrame, cluster: str = "customer_id", group: str = "location",
@@ -36,26 +81,36 @@ def cluster_bootstrap_diff(df: DataFrame, cluster: str = "customer_id", group: s
     """
     spark = df.sparkSession
     facts = df.where(F.col(value).isNotNull() & F.col(cluster).isNotNull())
-    partial = (facts.groupBy(cluster, group)
-                    .agg(F.sum(F.col(value).cast("decimal(28,2)")).alias("s"), F.count(F.lit(1)).alias("n")))
-    clusters = row_index(partial.select(cluster).distinct(), [cluster]).withColumnRenamed("idx", "k")
-    K = clusters.agg(F.count(F.lit(1)).alias("K"))
-    sums = partial.join(clusters, cluster).select("k", group, "s", "n")
-    # R x K draws, spread evenly over tasks by a plain range.
-    draws = (spark.range(reps).crossJoin(F.broadcast(K))
-                  .select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.col("K"))).alias("j"), "K")
-                  .select("rep", draw_index(seed, F.col("rep"), F.col("j"), F.col("K")).alias("k"))
-                  .groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")))
-    per_rep = (draws.join(sums, "k")
-                    .groupBy("rep")
-                    .agg(F.sum(F.when(F.col(group) == a, F.col("s") * F.col("w"))).alias("sa"),
-                         F.sum(F.when(F.col(group) == a, F.col("n") * F.col("w"))).alias("na"),
-                         F.sum(F.when(F.col(group) == b, F.col("s") * F.col("w"))).alias("sb"),
-                         F.sum(F.when(F.col(group) == b, F.col("n") * F.col("w"))).alias("nb")))
-    diffs = (per_rep.where((F.col("na") > 0) & (F.col("nb") > 0))
-                    .select((F.col("sa").cast("double") / F.col("na") - F.col("sb").cast("double") / F.col("nb"))
-                            .alias("diff")))
-    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    money = lambda g: (F.sum(F.when(F.col(group) == g, F.col(value).cast("decimal(28,6)"))) * MICRO).cast("long")
+    partial = facts.groupBy(cluster).agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in
+                                           (("sa", money(a)), ("na", F.count_if(F.col(group) == a)), ("sb", money(b)), ("nb", F.count_if(F.col(group) == b)))])
+    indexed = row_index(partial, [cluster])
+    clusters = indexed.count()
+    sums = F.struct("sa", "na", "sb", "nb")
+    buckets = (indexed.groupBy(F.floor(F.col("idx") / BUCKET).alias("bucket"))
+                      .agg(F.array_sort(F.collect_list(F.struct("idx", sums.alias("sums")))).alias("c")))
+    shares = split_draws(spark, reps, clusters, seed, BUCKET)
+    if clusters <= BROADCAST_CLUSTERS:
+        drawn = shares.join(F.broadcast(buckets), "bucket")
+    else:
+        # A fixed number of partitions: the rows are small, the work behind each is not, so they must not be merged by size.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps * clusters // 50_000_000)
+        drawn = shares.repartition(parts, "bucket").join(buckets.repartition(parts, "bucket"), "bucket")
+
+    add = ", ".join(f"'{k}', total.{k} + hit.{k}" for k in ("sa", "na", "sb", "nb"))
+    words = ", ".join(w for at in (1, 16) for w in (f"shiftright({random_bits('digest', at)}, 30)", f"{random_bits('digest', at)} & 1073741823L"))
+    # Four draws of 30 bits each from one digest; the last block may need fewer.
+    drawing = f"""aggregate(sequence(0L, (n - 1) div 4), named_struct('sa', 0L, 'na', 0L, 'sb', 0L, 'nb', 0L), (sofar, block) -> aggregate(
+        slice(transform(array(md5(concat_ws(':', '{seed}', rep, 'd', bucket, block))), digest -> array({words}))[0], 1, cast(least(n - block * 4, 4L) AS int)),
+        sofar, (total, word) -> transform(array(get(c, cast(word % size(c) AS int)).sums), hit -> named_struct({add}))[0]))"""
+    totals = drawn.selectExpr("rep", f"{drawing} AS t")
+    per_rep = totals.groupBy("rep").agg(*[F.sum(F.col(f"t.{k}").cast("decimal(38,0)")).alias(k) for k in ("sa", "na", "sb", "nb")])
+    mean = lambda s, n: F.col(s).cast("double") / MICRO / F.col(n).cast("double")
+    diffs = per_rep.where((F.col("na") > 0) & (F.col("nb") > 0)).select((mean("sa", "na") - mean("sb", "nb")).alias("diff"))
+    checkpoint_dir(spark)
+    diffs = diffs.checkpoint()  # one row a replicate, read for the interval and the count
+    lo = round((1 - level) / 2, 12)
+    hi = round(1 - lo, 12)
     qs = exact_quantiles(diffs, "diff", [lo, hi])
     ci = qs.groupBy().agg(F.max(F.when(F.col("pi") == 0, F.col("q"))).alias("ci_low"),
                           F.max(F.when(F.col("pi") == 1, F.col("q"))).alias("ci_high"))
@@ -63,6 +118,6 @@ def cluster_bootstrap_diff(df: DataFrame, cluster: str = "customer_id", group: s
     from tallyspark.operators.reports import channel_mean_difference
     obs = channel_mean_difference(df.withColumnRenamed(group, "location") if group != "location" else df, a, b,
                                   cluster).select("observed_difference")
-    return (obs.crossJoin(ci).crossJoin(K.select(F.col("K").alias("clusters"))).crossJoin(used)
-               .select("observed_difference", "ci_low", "ci_high", "clusters", F.lit(reps).alias("repetitions"),
+    return (obs.crossJoin(ci).crossJoin(used)
+               .select("observed_difference", "ci_low", "ci_high", F.lit(clusters).cast("long").alias("clusters"), F.lit(reps).alias("repetitions"),
                        F.lit(seed).alias("seed"), "replicates_used"))

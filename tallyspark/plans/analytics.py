@@ -184,26 +184,50 @@ def q_fdr_bh(spark, sf_dir):
     return ST.fdr_bh(li.select((F.col("_x") / 1000000000.0).alias("p_value")))
 
 
+def _bits(hash_: str, at: int, n: str) -> str:
+    """How many of the first ``n`` (at most 60) of 60 bits of a digest are one."""
+    return f"bit_count(('0x' || substr({hash_}, {at}, 15))::BIGINT & ((1::BIGINT << greatest(least({n}, 60), 0)) - 1))"
+
+
+# Linear interpolation between the neighbours of position (n - 1) p of the sorted list v.
+_QUANTILE = lambda p: f"v[floor((len(v) - 1) * {p})::INT + 1] + ((len(v) - 1) * {p} - floor((len(v) - 1) * {p})) * (v[least(floor((len(v) - 1) * {p})::INT + 2, len(v))] - v[floor((len(v) - 1) * {p})::INT + 1])"  # noqa: E731, E501
+_WORD = "md5(concat_ws(':', '42', rep, lo, hi, i, w))"
+_BORDER = lambda x: f"least(({x}) * {RS.BUCKET}, K)"
+_LEFT = lambda lo, hi: f"{_BORDER(f'({lo} + {hi}) // 2')} - {_BORDER(lo)}"
+
+
 @register("cluster_bootstrap", _clean_then(f"""
-, facts AS (SELECT customer_id, location, CAST(total_spent AS DECIMAL(28,2)) AS v FROM clean
-            WHERE total_spent IS NOT NULL AND customer_id IS NOT NULL),
-partial AS (SELECT customer_id, location, SUM(v) AS s, COUNT(*) AS n FROM facts GROUP BY 1, 2),
-cl AS (SELECT customer_id, ROW_NUMBER() OVER (ORDER BY customer_id) - 1 AS k FROM (SELECT DISTINCT customer_id FROM partial)),
-kk AS (SELECT COUNT(*) AS K FROM cl),
-sums AS (SELECT k, location, s, n FROM partial JOIN cl USING (customer_id)),
-draws AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', '42', CAST(rep AS VARCHAR), CAST(j AS VARCHAR))), 1, 8))::BIGINT % K AS k
-          FROM range(2000) r(rep) CROSS JOIN kk CROSS JOIN LATERAL (SELECT unnest(range(1, K + 1)) AS j)),
-w AS (SELECT rep, k, COUNT(*) AS w FROM draws GROUP BY 1, 2),
-pr AS (SELECT rep, SUM(s * w) FILTER (WHERE location = 'Online') AS sa, SUM(n * w) FILTER (WHERE location = 'Online') AS na,
-              SUM(s * w) FILTER (WHERE location = 'In-store') AS sb, SUM(n * w) FILTER (WHERE location = 'In-store') AS nb
-       FROM w JOIN sums USING (k) GROUP BY rep),
-diffs AS (SELECT CAST(sa AS DOUBLE) / na - CAST(sb AS DOUBLE) / nb AS diff FROM pr WHERE na > 0 AND nb > 0),
+, facts AS (SELECT customer_id, location, CAST(total_spent AS DECIMAL(28,6)) AS v FROM clean WHERE total_spent IS NOT NULL),
+partial AS (
+  SELECT customer_id, ROW_NUMBER() OVER (ORDER BY customer_id) - 1 AS idx, (sum(v) FILTER (location = 'Online') * 1000000)::BIGINT AS sa, count(*) FILTER (location = 'Online') AS na,
+         (sum(v) FILTER (location = 'In-store') * 1000000)::BIGINT AS sb, count(*) FILTER (location = 'In-store') AS nb
+  FROM facts WHERE customer_id IS NOT NULL GROUP BY 1),
+kk AS (SELECT count(*) AS K FROM partial),
+shares AS (
+  SELECT * FROM (
+    WITH RECURSIVE node(rep, lo, hi, n, i, u, s, r) AS (
+      SELECT rep, 0::BIGINT, ((K + {RS.BUCKET - 1}) // {RS.BUCKET})::BIGINT, K, 0, K, 0::BIGINT, {_LEFT("0", f"((K + {RS.BUCKET - 1}) // {RS.BUCKET})")}
+      FROM range(2000) t(rep), kk
+      UNION ALL
+      SELECT rep, part.lo, part.hi, part.n, part.i, part.u, part.s, part.r FROM (
+        SELECT rep, unnest(CASE WHEN u > 0 AND i < {RS.DIGITS} THEN
+                 [{{lo: lo, hi: hi, n: n, i: i + 1, u: kept, s: s + CASE WHEN 2 * r >= size THEN u - kept ELSE 0 END, r: 2 * r - CASE WHEN 2 * r >= size THEN size ELSE 0 END}}]
+               ELSE [{{lo: lo, hi: mid, n: s, i: 0, u: s, s: 0::BIGINT, r: {_LEFT("lo", "mid")}}}, {{lo: mid, hi: hi, n: n - s, i: 0, u: n - s, s: 0::BIGINT, r: {_LEFT("mid", "hi")}}}] END) AS part
+        FROM (SELECT node.*, K, (lo + hi) // 2 AS mid, {_BORDER("hi")} - {_BORDER("lo")} AS size,
+                     list_sum([{_bits(_WORD, 1, "u - w * 120")} + {_bits(_WORD, 16, "u - w * 120 - 60")} FOR w IN range(0, (u + 119) // 120)])::BIGINT AS kept
+              FROM node, kk WHERE hi - lo > 1)))
+    SELECT rep, lo AS bucket, n FROM node WHERE hi - lo = 1 AND n > 0)),
+draws AS (SELECT rep, bucket, unnest(range(n)) AS j FROM shares),
+hits AS (SELECT rep, bucket * {RS.BUCKET} + (CASE WHEN j % 2 = 0 THEN x >> 30 ELSE x & 1073741823 END) % least({RS.BUCKET}, K - bucket * {RS.BUCKET}) AS idx
+         FROM (SELECT *, ('0x' || substr(md5(concat_ws(':', '42', rep, 'd', bucket, j // 4)), CASE WHEN j % 4 < 2 THEN 1 ELSE 16 END, 15))::BIGINT AS x FROM draws), kk),
+pr AS (SELECT rep, sum(sa) AS sa, sum(na) AS na, sum(sb) AS sb, sum(nb) AS nb FROM hits JOIN partial USING (idx) GROUP BY rep),
+diffs AS (SELECT CAST(sa AS DOUBLE) / 1000000 / CAST(na AS DOUBLE) - CAST(sb AS DOUBLE) / 1000000 / CAST(nb AS DOUBLE) AS diff FROM pr WHERE na > 0 AND nb > 0),
 obs AS (SELECT CAST(SUM(v) FILTER (WHERE location = 'Online') AS DOUBLE) / COUNT(*) FILTER (WHERE location = 'Online')
              - CAST(SUM(v) FILTER (WHERE location = 'In-store') AS DOUBLE) / COUNT(*) FILTER (WHERE location = 'In-store') AS od
-        FROM (SELECT location, CAST(total_spent AS DECIMAL(28,2)) AS v FROM clean WHERE total_spent IS NOT NULL))
-SELECT od AS observed_difference, quantile_cont(diff, 0.025) AS ci_low, quantile_cont(diff, 0.975) AS ci_high,
-       (SELECT K FROM kk) AS clusters, 2000 AS repetitions, 42 AS seed, COUNT(*) AS replicates_used
-FROM diffs, obs GROUP BY od"""))
+        FROM facts)
+SELECT od AS observed_difference, {_QUANTILE("0.025::DOUBLE")} AS ci_low, {_QUANTILE("0.975::DOUBLE")} AS ci_high,
+       (SELECT K FROM kk) AS clusters, 2000 AS repetitions, 42 AS seed, len(v) AS replicates_used
+FROM (SELECT list_sort(list(diff)) AS v FROM diffs), obs"""))
 def q_cluster_bootstrap(spark, sf_dir):
     return RS.cluster_bootstrap_diff(cleaned(spark, sf_dir), reps=2000, seed=42)
 

@@ -1,12 +1,12 @@
 """Retail-shaped raw view over the TPC-H-like driver tables.
 
 The reference's own CSV is not available, so the raw table (eleven text
-columns) is derived from lineitem x orders x part x customer. Missingness is
+columns) is derived from lineitem x orders x part. Missingness is
 an arithmetic hash of the keys, so it is reproducible in any SQL engine:
 about 5 % of rows lack quantity and total, another 5 % lack price, all of
 those lack item, a third lack the discount flag, and one row in ten carries
 stray blanks around the category. Customer (the bootstrap cluster) is the
-customer's nation: 25 clusters at every scale.
+order's customer key.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ["lineitem", "orders", "part", "customer"]
+TABLES = ["lineitem", "orders", "part"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +27,18 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only the needed columns are read (pruned at the Parquet scan). The
     lineitem-orders join is the large one and shuffles on the order key
     (which also spreads the row-level parsing over the shuffle partitions);
-    part and customer joins are left to AQE, which broadcasts them only when
-    their measured size is under the broadcast threshold.
+    the part join is left to AQE, which broadcasts it only when its measured
+    size is under the broadcast threshold.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
 
-    # Customer is attached to orders first (a quarter of lineitem's rows), so
-    # the fact side is shuffled only for the order key and the part key.
     # lineitem x orders is fact-to-fact: at scale neither side fits a
     # broadcast, so it is planned as a sort-merge join on the order key.
-    order_cust = (orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-                        .select("o_orderkey", "c_nationkey"))
-    base = (li.join(order_cust.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    base = (li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
     qty = F.col("l_quantity").cast("int")
@@ -58,7 +53,7 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         F.concat_ws("-", s(F.col("l_orderkey")), s(F.col("l_linenumber")), s(F.col("l_partkey")),
                     s(F.col("l_suppkey")), s(qty), s(ep)).alias("transaction_id"),
-        F.concat(F.lit("CUST_"), s(F.col("c_nationkey"))).alias("customer_id"),
+        F.concat(F.lit("CUST_"), s(F.col("o_custkey"))).alias("customer_id"),
         F.when(k % 10 == 3, F.concat(F.lit("  "), brand, F.lit(" "))).otherwise(brand).alias("category"),
         F.when(k < 10, F.lit("")).otherwise(F.concat(F.lit("Item_"), s(F.col("l_partkey")))).alias("item"),
         F.when((k >= 5) & (k < 10), F.lit("")).otherwise(s(price)).alias("price_per_unit"),
@@ -78,7 +73,7 @@ RAW_SQL = """
 SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
                  CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR),
                  CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) AS VARCHAR)) AS transaction_id,
-       concat('CUST_', CAST(c_nationkey AS VARCHAR)) AS customer_id,
+       concat('CUST_', CAST(o_custkey AS VARCHAR)) AS customer_id,
        CASE WHEN ((l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey) % 100) % 10 = 3
             THEN concat('  ', p_brand, ' ') ELSE p_brand END AS category,
        CASE WHEN (l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey) % 100 < 10 THEN ''
@@ -95,5 +90,5 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
        CASE WHEN (l_orderkey*3 + l_linenumber + l_partkey) % 3 = 0 THEN ''
             WHEN l_discount > 0 THEN 'True' ELSE 'False' END AS discount_applied
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-     JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
+     JOIN part ON l_partkey = p_partkey
 """
