@@ -90,41 +90,11 @@ def midranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFra
     return cum.withColumn("rank", doubled_rank(F.col("below"), F.col("t")) / 2.0)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS,
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int | None = DEFAULT_BUCKETS,
                     by: list[str] | None = None) -> DataFrame:
-    """(by..., pi, p, q): linear-interpolated exact quantiles (numpy default), per group.
-
-    Position h = (n - 1) p. The bucket holding positions floor(h) and
-    floor(h) + 1 is found from the per-group bucket totals, and only that
-    bucket's value counts are searched, so no task holds a whole group.
-    """
-    by = list(by or [])
-    for c in by:  # null groups are dropped, as a pandas groupby does
-        df = df.where(F.col(c).isNotNull())
-    cum = cumulative_counts(value_counts(df, col, by), buckets, by, keep_bucket=True)
-    buckets_tbl = cum.select(*by, "_b", "_off", "_bt").distinct()
-    n = buckets_tbl.groupBy(*by).agg(F.sum("_bt").alias("_n"))
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    pos = (n.where(F.col("_n") > 0).select(*by, "_n", F.posexplode(plist).alias("pi", "p"))
-             .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-             .withColumn("_lo", F.floor("_h").cast("long"))
-             .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-             .withColumn("_frac", F.col("_h") - F.col("_lo")))
-
-    def value_at(k: str, name: str) -> DataFrame:
-        in_bucket = (F.col(k) >= F.col("_off")) & (F.col(k) < F.col("_off") + F.col("_bt"))
-        # Theta join of the position rows (groups x probabilities) with the
-        # per-group bucket ranges; without groups both sides are tiny.
-        where = pos.join(buckets_tbl, by, "inner").where(in_bucket).select(*by, "pi", "_b", k) if by else \
-            buckets_tbl.join(F.broadcast(pos), in_bucket).select("pi", "_b", k)
-        hit = (F.col(k) >= F.col("below")) & (F.col(k) < F.col("below") + F.col("t"))
-        return (cum.join(where, [*by, "_b"]).where(hit)
-                   .select(*by, "pi", F.col("v").cast("double").alias(name)))
-
-    lo = value_at("_lo", "_v_lo")
-    hi = value_at("_hi", "_v_hi")
-    return (pos.join(lo, [*by, "pi"]).join(hi, [*by, "pi"])
-               .select(*by, "pi", "p", (F.col("_v_lo") + F.col("_frac") * (F.col("_v_hi") - F.col("_v_lo"))).alias("q")))
+    """(by..., pi, p, q): linear-interpolated exact quantiles (numpy default), per group; see ``operators.selection``."""
+    from tallyspark.operators.selection import quantiles
+    return quantiles(df, col, probs, by)
 
 
 def running_total(df: DataFrame, order: list, value: str | None = None,
