@@ -153,8 +153,8 @@ def row_accounting(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of a not in b and of b not in a, values compared as text, multiplicity kept."""
-    ta = a.select([F.col(c).cast("string").alias(c) for c in a.columns])
-    tb = b.select([F.col(c).cast("string").alias(c) for c in a.columns])
-    return (ta.exceptAll(tb).withColumn("side", F.lit("left_only"))
-              .unionByName(tb.exceptAll(ta).withColumn("side", F.lit("right_only"))))
+    """Rows of a not in b and of b not in a, values compared as text, multiplicity kept (G9); see ``operators.difference``."""
+    from tallyspark.operators.difference import table_difference
+    ta, tb = (df.select([F.col(c).cast("string").alias(c) for c in a.columns]) for df in (a, b))
+    diff = table_difference(ta, tb, a.columns[:1])
+    return diff.select(*a.columns, "side", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

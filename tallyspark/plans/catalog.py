@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as X
 from tallyspark.functions.calendar import calendar_columns
 from tallyspark.operators import cleaning as C
+from tallyspark.operators import cube_store as CS
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import quality as Q
 from tallyspark.operators import reports as R
+from tallyspark.operators.ordering import with_position
 from tallyspark.plans import sqltext as S
 from tallyspark.plans.sqltext import with_clean
 from tallyspark.sources.adapter import RAW_SQL, retail_raw
@@ -50,22 +52,41 @@ def cleaned(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> Da
     written to the shared checkpoint folder; reports read that table.
     Quantity is kept as double (the whole-number cast only changes the type).
     """
-    from tallyspark.plans.materialize import materialized
     from tallyspark.session import tune_session
-    from tallyspark.sources.adapter import TABLES
     tune_session(spark)
-    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
     if getattr(spark, "_jvm", None) is None:  # Spark Connect: no file-system gateway, plan lazily
         full = C.clean(retail_raw(spark, sf_dir), keep_internal=True, quantity_mode=False)
-        return full if keep_internal else full.select(*C.CLEAN_COLUMNS)
-    full = materialized(spark, "clean_internal", inputs,
-                        lambda path: C.write_clean_table(retail_raw(spark, sf_dir), path, keep_internal=True,
-                                                         quantity_mode=False))
+    else:
+        full = spark.read.parquet(_clean_folder(spark, sf_dir))
     return full if keep_internal else full.select(*C.CLEAN_COLUMNS)
 
 
+def _clean_folder(spark: SparkSession, sf_dir: str) -> str:
+    from tallyspark.plans.materialize import materialized_path
+    from tallyspark.sources.adapter import TABLES
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES]
+    return materialized_path(spark, "clean_internal", inputs,
+                             lambda path: C.write_clean_table(retail_raw(spark, sf_dir), path, keep_internal=True, quantity_mode=False))
+
+
+def cube_store(spark: SparkSession, sf_dir: str) -> str:
+    """The maintained cube of the cleaned table, brought up to date (a comparison of file lists if nothing changed)."""
+    folder = _clean_folder(spark, sf_dir)
+    store = f"{folder}-cube"
+    CS.update(spark, folder, store)
+    return store
+
+
 def cube(spark, sf_dir):
-    return D.build_cube(cleaned(spark, sf_dir))
+    if getattr(spark, "_jvm", None) is None:
+        return D.build_cube(cleaned(spark, sf_dir))
+    return CS.read_cube(spark, cube_store(spark, sf_dir))
+
+
+def last_date(spark, sf_dir):
+    if getattr(spark, "_jvm", None) is None:
+        return D.last_date_info(cleaned(spark, sf_dir))
+    return CS.last_date_info(spark, cube_store(spark, sf_dir))
 
 
 def M(c: str) -> str:
@@ -328,14 +349,22 @@ def q_exclude_partial_month(spark, sf_dir):
 
 # ------------------------------------------------------------- SQL reports ---
 
-@register("sql_monthly_channel", with_clean(f"""
+_MONTHLY = with_clean(f"""
 SELECT substr(transaction_date, 1, 7) AS sales_month, location AS channel, COUNT(*) AS total_records,
        COUNT(total_spent) AS valid_sales_records, {M('total_spent')} AS recorded_sales,
        {M('total_spent')} / NULLIF(COUNT(total_spent), 0) AS sales_per_valid_transaction,
        100.0::DOUBLE * COUNT(total_spent) / COUNT(*) AS sales_coverage_pct
-FROM clean GROUP BY 1, 2"""))
+FROM clean GROUP BY 1, 2""")
+
+
+def placed(sql: str, order: str) -> str:
+    """``sql`` with the 1-based place of each row."""
+    return f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({sql})"
+
+
+@register("sql_monthly_channel", placed(_MONTHLY, "sales_month NULLS LAST, channel NULLS LAST"))
 def q_monthly_channel(spark, sf_dir):
-    return R.monthly_channel(cleaned(spark, sf_dir))
+    return with_position(R.monthly_channel(cleaned(spark, sf_dir)), [("sales_month", "asc"), ("channel", "asc")])
 
 
 _TOP = """
@@ -423,12 +452,12 @@ def q_headline_totals(spark, sf_dir):
     return R.headline_totals(cleaned(spark, sf_dir))
 
 
-@register("category_summary", with_clean(f"""
+@register("category_summary", placed(with_clean(f"""
 SELECT category, {M('total_spent')} AS sales, COUNT(total_spent) AS valid,
        {M('total_spent')} / NULLIF(COUNT(total_spent), 0) AS sales_per_transaction
-FROM clean WHERE {COMPLETE_MONTHS} GROUP BY category"""))
+FROM clean WHERE {COMPLETE_MONTHS} GROUP BY category"""), "sales_per_transaction NULLS LAST, category NULLS LAST"))
 def q_category_summary(spark, sf_dir):
-    return R.category_summary(cleaned(spark, sf_dir))
+    return with_position(R.category_summary(cleaned(spark, sf_dir)), [("sales_per_transaction", "asc")])
 
 
 @register("channel_mean_difference", with_clean("""
@@ -457,10 +486,8 @@ def _sql_text_query(name):
     return q
 
 
-for _name, _key in [("monthly_channel", "sql_monthly_channel"), ("top_products", "top_products"),
-                    ("missing_rate_by_category", "missing_rate_by_category"),
-                    ("customer_summary", "customer_summary"), ("month_over_month", "month_over_month")]:
-    register(f"sqltext_{_name}", _SQL[_key])(_sql_text_query(_name))
+for _name in ("monthly_channel", "top_products", "missing_rate_by_category", "customer_summary", "month_over_month"):
+    register(f"sqltext_{_name}", _MONTHLY if _name == "monthly_channel" else _SQL[_name])(_sql_text_query(_name))
 
 
 # ----------------------------------------------------------------- quality ---
@@ -791,28 +818,27 @@ SELECT month, sales, (month = l.last_month AND NOT l.last_month_complete) AS par
 FROM (SELECT month, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales FROM cube
       WHERE month >= '2000-01' AND month <= '2001-12' GROUP BY month) CROSS JOIN {_LAST} l"""))
 def q_monthly_trend(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    return D.monthly_trend(D.build_cube(c), D.last_date_info(c), "2000-01", "2001-12")
+    return D.monthly_trend(cube(spark, sf_dir), last_date(spark, sf_dir), "2000-01", "2001-12")
 
 
-@register("category_breakdown", _cube_sql(f"""
+@register("category_breakdown", placed(_cube_sql(f"""
 SELECT category, sales, valid, units, quantity_valid, rows,
        CASE WHEN valid > 0 THEN sales / valid ELSE 0.0 END AS value,
        coalesce(category = '{KPI_CATEGORY}', false) AS selected
 FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
              SUM(units) AS units, CAST(SUM(quantity_valid) AS BIGINT) AS quantity_valid, CAST(SUM(rows) AS BIGINT) AS rows
-      FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' GROUP BY category)"""))
+      FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' GROUP BY category)"""), "value DESC NULLS LAST, category NULLS LAST"))
 def q_category_breakdown(spark, sf_dir):
-    return D.category_breakdown(cube(spark, sf_dir), KPI_START, KPI_END, category=KPI_CATEGORY)
+    return with_position(D.category_breakdown(cube(spark, sf_dir), KPI_START, KPI_END, category=KPI_CATEGORY), [("value", "desc")])
 
 
-@register("category_breakdown_units", _cube_sql(f"""
+@register("category_breakdown_units", placed(_cube_sql(f"""
 SELECT category, sales, valid, units, quantity_valid, rows, units AS value, false AS selected
 FROM (SELECT category, CAST(SUM(CAST(sales AS DECIMAL(28,6))) AS DOUBLE) AS sales, CAST(SUM(valid) AS BIGINT) AS valid,
              SUM(units) AS units, CAST(SUM(quantity_valid) AS BIGINT) AS quantity_valid, CAST(SUM(rows) AS BIGINT) AS rows
-      FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' AND location = 'Online' GROUP BY category)"""))
+      FROM cube WHERE month >= '{KPI_START}' AND month <= '{KPI_END}' AND location = 'Online' GROUP BY category)"""), "value DESC NULLS LAST, category NULLS LAST"))
 def q_category_breakdown_units(spark, sf_dir):
-    return D.category_breakdown(cube(spark, sf_dir), KPI_START, KPI_END, location="Online", metric="units")
+    return with_position(D.category_breakdown(cube(spark, sf_dir), KPI_START, KPI_END, location="Online", metric="units"), [("value", "desc")])
 
 
 @register("quantity_coverage", _cube_sql(f"""
@@ -829,8 +855,7 @@ FROM (SELECT min(month) AS start_month, max(month) AS max_month FROM cube WHERE
 CROSS JOIN {_LAST} l
 CROSS JOIN (SELECT max(month) AS prev_month FROM cube WHERE month < (SELECT max(month) FROM cube)) pm"""))
 def q_default_period(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    return D.default_period(D.build_cube(c), D.last_date_info(c))
+    return D.default_period(cube(spark, sf_dir), last_date(spark, sf_dir))
 
 
 def queries():
@@ -852,9 +877,8 @@ def flagship(spark, sf_dir):
     The month list is one row per calendar month present (a few hundred at
     most), so reading it on the driver is bounded.
     """
-    c = cleaned(spark, sf_dir)
-    cb = D.build_cube(c)
-    period = D.default_period(cb, D.last_date_info(c)).first()
+    cb = cube(spark, sf_dir)
+    period = D.default_period(cb, last_date(spark, sf_dir)).first()
     months = [r["month"] for r in D.month_index(cb).orderBy("mi").collect()]
     end = period["end_month"]
     start = months[max(0, months.index(end) - 11)] if end in months else period["start_month"]

@@ -11,8 +11,9 @@ from tallyspark.functions import text as X
 from tallyspark.operators import checked as K
 from tallyspark.operators import cleaning as C
 from tallyspark.operators import quality as Q
+from tallyspark.operators.difference import table_difference
 from tallyspark.plans import sqltext as S
-from tallyspark.plans.catalog import CNT, raw, register
+from tallyspark.plans.catalog import CNT, cleaned, raw, register
 from tallyspark.plans.sqltext import with_clean, with_faulty
 from tallyspark.schema import CLEAN_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, TEXT_COLUMNS
 from tallyspark.session import checkpoint_dir
@@ -98,6 +99,19 @@ def q_faulty_full_duplicates(spark, sf_dir):
     return Q.full_duplicates(faulty_clean(spark, sf_dir).select(*CLEAN_COLUMNS))
 
 
+_TYPED = ", ".join("CAST(quantity AS DOUBLE) AS quantity" if c == "quantity" else c for c in CLEAN_COLUMNS)
+_PLAIN, _FAULTY = (f"({w(f'SELECT {_TYPED} FROM clean')})" for w in (with_clean, with_faulty))
+
+
+@register("table_difference", f"""
+SELECT {", ".join(CLEAN_COLUMNS)}, CASE WHEN SUM(s) > 0 THEN 'left_only' ELSE 'right_only' END AS side, CAST(abs(SUM(s)) AS BIGINT) AS copies
+FROM (SELECT *, 1 AS s FROM {_PLAIN} UNION ALL BY NAME SELECT *, -1 AS s FROM {_FAULTY}) GROUP BY {", ".join(CLEAN_COLUMNS)} HAVING SUM(s) <> 0""")
+def q_table_difference(spark, sf_dir):
+    """What the faults change in the cleaned table: every row that only one side has, in all columns, with its multiplicity."""
+    typed = lambda df: df.select(*CLEAN_COLUMNS).withColumn("quantity", F.col("quantity").cast("double"))
+    return table_difference(typed(cleaned(spark, sf_dir)), typed(faulty_clean(spark, sf_dir)), ["transaction_id"])
+
+
 def _log_sql(committed: bool) -> str:
     """Every counter and check of a checked run over the CTEs ``raw``, ``parsed`` and ``cleanx``."""
     missing = lambda c: f"{S.strip(c)} IS NULL OR {S.strip(c)} IN {S.TOKENS}"

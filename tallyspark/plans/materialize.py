@@ -56,7 +56,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialized(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> DataFrame:
-    """Read ``name`` for these inputs from the shared folder, writing it first (``write(path)``) if absent.
+    """Read ``name`` for these inputs from the shared folder, writing it first (``write(path)``) if absent."""
+    return spark.read.parquet(materialized_path(spark, name, inputs, write))
+
+
+def materialized_path(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> str:
+    """The folder of ``name`` for these inputs, written first if absent.
 
     The table is written to a unique temporary folder and renamed into place,
     so concurrent builders never read a half-written table; if another
@@ -74,4 +79,4 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], write: Calla
             _, source = _fs(spark, tmp)
             if not fs.rename(source, target) and not exists(spark, path):
                 raise RuntimeError(f"could not publish {tmp} as {path}")
-    return spark.read.parquet(path)
+    return path
