@@ -12,6 +12,9 @@ hashed over the plain words (lower case, no punctuation), and, for copies in ano
 placeholders for numbers and units only. A document has an item if one
 consistent alignment covers ``min_words`` words of it (or all but the first word of a shorter item, or the whole of an item of fewer than five words).
 
+A window can only match where its literal words stand. Each benchmark window has an anchor, its longest run of up to three
+neighbouring literal words; texts that hold no anchor of any window, most of them, are not marked, formed or hashed.
+
 Everything is a column expression or a join. Documents send only (key, position,
 hash) to the join; the benchmark's windows are broadcast when they are counted to be
 few, and joined by shuffle otherwise.
@@ -36,6 +39,11 @@ MIN_WORDS = 13
 MIN_ITEM_WORDS = 5  # from which an item has templates
 MIN_EXACT_WORDS = 3
 MAX_BROADCAST_WINDOWS = 1_000_000  # of about 40 bytes each
+ANCHOR_WORDS = 3
+MAX_ANCHORS = 50_000  # beyond, texts are not tested for anchors first; the result is the same
+# The spaces of Unicode beyond ASCII.
+WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]"
 NUMBER, NAME, UNIT, PUNCTUATION, LONE, END = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 # Unit words that become a placeholder.
 UNITS = ("mm", "cm", "m", "km", "millimeter", "millimeters", "millimetre", "millimetres", "centimeter", "centimeters", "centimetre", "centimetres", "meter", "meters",
@@ -51,17 +59,23 @@ UNITS = ("mm", "cm", "m", "km", "millimeter", "millimeters", "millimetre", "mill
 UNIT_WORD = "|".join(f"{c}(?:{'|'.join(sorted(u[1:] for u in UNITS if u[0] == c))})" for c in sorted({u[0] for u in UNITS}))
 
 
+def spaced(text: Column) -> Column:
+    """The text (null: empty) with every Unicode space as an ASCII one."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) == F.octet_length(t), t).otherwise(F.translate(t, WIDE_SPACES, " " * len(WIDE_SPACES)))
+
+
 def marked(text: Column) -> Column:
     """The text in lower case without punctuation, with marks before (and after, for numbers) what a placeholder can replace; as many words as before.
 
     Each expression begins with a character that is rare or cheap to test; lookbehinds come after it.
     """
     word = r"[^\x20\x09-\x0D]"
-    t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]{2,}+|[\x09-\x0D]", " ")
+    t = F.regexp_replace(F.concat(F.lit(" "), spaced(text)), r"[\x20\x09-\x0D]{2,}+|[\x09-\x0D]", " ")
     t = F.regexp_replace(t, r"[0-9]++(?:[.,:/][0-9]++){0,20}", NUMBER + "$0" + END)
     # A capitalised word inside a sentence: the word before it does not end one.
     t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:;\x22)]\x20\p{{Lu}})\p{{Ll}}{word}*+", NAME + "$0")
-    t = F.regexp_replace(t, r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]++", PUNCTUATION)
+    t = F.regexp_replace(t, PUNCTUATION_CLASS + "++", PUNCTUATION)
     t = F.regexp_replace(t, rf"\u0004(?<!{word}\u0004)(?!{word})", LONE)
     t = F.lower(F.replace(t, F.lit(PUNCTUATION), F.lit("")))
     return F.regexp_replace(t, rf"([\x20\u0006])((?:{UNIT_WORD})(?!{word}))", "$1" + UNIT + "$2")
@@ -129,8 +143,36 @@ def is_slot(w: Column) -> Column:
     return w.rlike("[\u0001-\u0003]")
 
 
+def anchor_of(window: Column) -> Column:
+    """The longest run of up to three neighbouring literal words, as text; null if there is no literal word."""
+    literal = lambda x: ~x.rlike("[\u0001-\u0005]")
+
+    def best(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(window) - n + 1, F.lit(1))), lambda i: F.slice(window, i, n))
+        texts = F.transform(F.filter(runs, lambda r: (F.size(r) == n) & F.forall(r, literal)), lambda r: F.array_join(r, " "))
+        return F.array_max(F.transform(texts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return F.coalesce(*[best(n) for n in range(ANCHOR_WORDS, 0, -1)])
+
+
+def holds_anchor(text: Column, anchors: list[str]) -> Column:
+    """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through."""
+    w = words(F.lower(F.regexp_replace(spaced(text), PUNCTUATION_CLASS + "++", "")))
+    by_size: dict[int, list[str]] = {}
+    for a in anchors:
+        by_size.setdefault(a.count(" ") + 1, []).append(a)
+    firsts = sorted({a.split(" ")[0] for a in anchors})
+
+    def here(w: Column, x: Column, i: Column) -> Column:
+        found = None
+        for n, some in sorted(by_size.items()):
+            run = x if n == 1 else F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)])
+            found = run.isin(sorted(some)) if found is None else found | run.isin(sorted(some))
+        return x.isin(firsts) & found
+    return let(w, lambda w: F.size(F.filter(w, lambda x, i: here(w, x, i))) > 0)
+
+
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
-    items = (benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_raw"), all_forms(F.col(text)).alias("item"))
+    items = (benchmark.select(F.col(item_id).alias("item_id"), words(spaced(F.col(text))).alias("item_raw"), all_forms(F.col(text)).alias("item"))
              .withColumn("n", F.size("item_raw")).where((F.col("n") >= MIN_EXACT_WORDS) & (F.size("item.canon") == F.col("n")) & (F.size("item.plain") == F.col("n")))
              # Whether the first word is a name depends on what stands before it, so a window need not hold it.
              .withColumn("w", F.when(F.col("n") < MIN_ITEM_WORDS, F.col("n")).otherwise(F.least(F.col("n") - 1, F.lit(width)))))
@@ -140,7 +182,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str)
         literal = F.size(F.filter(F.slice(F.col("words"), F.col("ipos") + 1, F.col("w")), lambda x: ~is_slot(x)))
         if k != "plain":
             some = some.where((F.col("n") >= MIN_ITEM_WORDS) & (2 * literal >= F.col("w")))
-        some = some.select("item_id", "w", "ipos", "h")
+        some = some.select("item_id", "w", "ipos", "h", anchor_of(F.slice(F.col("words"), F.col("ipos") + 1, F.col("w"))).alias("anchor"))
         wins = some if wins is None else wins.union(some)
     return items.drop("n"), wins.distinct()
 
@@ -151,17 +193,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     items, windows = benchmark_windows(benchmark, width, bench_text, item_id)
     items, windows = saved(items), saved(windows)
     widths = [r["w"] for r in windows.select("w").distinct().orderBy("w").collect()]  # at most ``width`` numbers
+    anchors = [r["anchor"] for r in windows.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
+    windows = windows.drop("anchor")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     if widths:
         hashes = let(all_forms(F.col("text")), lambda x: F.flatten(F.array(*[form_hashes(x, k) for k in widths])))
     else:
         hashes = F.array().cast("array<struct<w:int,pos:int,h:bigint>>")
-    sent = base.select("key", once(hashes).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.*")
+    near = base if len(anchors) > MAX_ANCHORS or None in anchors or not anchors else base.where(holds_anchor(F.col("text"), anchors))
+    sent = near.select("key", once(hashes).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.*")
     small = windows.count() <= MAX_BROADCAST_WINDOWS
     hits = sent.join(F.broadcast(windows) if small else windows, ["w", "h"])
     aligned = saved(hits.groupBy("key", "item_id", "w", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at")))
     texts = base.join(aligned.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    texts = texts.select("key", "doc_id", words(F.col("text")).alias("raw"), all_forms(F.col("text")).alias("doc"))
+    texts = texts.select("key", "doc_id", words(spaced(F.col("text"))).alias("raw"), all_forms(F.col("text")).alias("doc"))
     a = aligned.join(texts, "key").join(items.drop("w"), "item_id")
     covered = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.sequence(p, p + F.col("w") - 1))))
     a = a.withColumn("covered", F.filter(covered, lambda i: F.greatest(*[

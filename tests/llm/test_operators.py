@@ -382,3 +382,20 @@ def test_pipeline_drops_rows_not_ids(spark):
     left = [r for r in stay if not (r[1] or "").startswith(nameless)]
     assert sorted(left, key=str) == sorted([(1, copied), (None, alone), (None, None), (None, ""), (7, ""), (2, both), (3, other)], key=str)
     assert len(stay) == len(left) + 1
+
+
+def test_decontamination_anchors_change_nothing(spark, monkeypatch):
+    """Texts without an anchor are passed over: the result is that of hashing every text, and copies with wide spaces are found."""
+    rng = random.Random(6)
+    vocabulary = ["the", "of", "and", "Paris", "Rome", "12", "7.5", "miles", "kg", "-", "don't", "apples", "river", "Ναός", "house", "green", "walks"]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, sentence(rng.choice([3, 4, 6, 9, 14, 25]))) for i in range(40)]
+    rows = [(i, f"{sentence(5)} {t} {sentence(4)}") for i, t in items] + [(100 + i, sentence(30)) for i in range(60)]
+    wide = ["\u00a0", "\u2003", "\u3000 "]
+    rows += [(200 + i, sentence(5) + " " + items[i][1].replace(" ", wide[i % 3]) + " " + sentence(3)) for i in range(40)]
+    rows += [(300 + i, items[i][1].replace("12", "99").replace("Paris", "Berlin").upper()) for i in range(40)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontamination.contaminated(d, b).drop("key").collect()))
+    monkeypatch.setattr(decontamination, "MAX_ANCHORS", 0)
+    assert got == sorted(map(tuple, decontamination.contaminated(d, b).drop("key").collect()))
+    assert {i for i, _ in items} <= {r[0] for r in got} and {200 + i for i, t in items if len(t.split()) >= 5} <= {r[0] for r in got}
