@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.quality import let
-from tallyspark.llm.text import once, saved, words
+from tallyspark.llm.text import SPACE_CLASS, once, saved, words
 
 WIDTH = 8
 MIN_WORDS = 13
@@ -155,20 +155,25 @@ def anchor_of(window: Column) -> Column:
 
 
 def holds_anchor(text: Column, anchors: list[str]) -> Column:
-    """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through."""
-    w = words(F.lower(F.regexp_replace(spaced(text), PUNCTUATION_CLASS + "++", "")))
-    by_size: dict[int, list[str]] = {}
+    """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through.
+
+    Words are first looked up among the anchors' longest words, which are rare; only there the neighbours are compared."""
+    plain = F.coalesce(text, F.lit(""))
+    plain = F.when(F.length(plain) == F.octet_length(plain), F.regexp_replace(plain, r"\p{Punct}++", "")).otherwise(
+        F.regexp_replace(spaced(plain), PUNCTUATION_CLASS + "++", ""))
+    by_place: dict[tuple[int, int], list[str]] = {}  # number of words and place of the longest one -> anchors
     for a in anchors:
-        by_size.setdefault(a.count(" ") + 1, []).append(a)
-    firsts = sorted({a.split(" ")[0] for a in anchors})
+        parts = a.split(" ")
+        by_place.setdefault((len(parts), max(range(len(parts)), key=lambda k: len(parts[k]))), []).append(a)
+    longest = sorted({a.split(" ")[k] for (_, k), some in by_place.items() for a in some})
 
     def here(w: Column, x: Column, i: Column) -> Column:
-        found = None
-        for n, some in sorted(by_size.items()):
-            run = x if n == 1 else F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)])
-            found = run.isin(sorted(some)) if found is None else found | run.isin(sorted(some))
-        return x.isin(firsts) & found
-    return let(w, lambda w: F.size(F.filter(w, lambda x, i: here(w, x, i))) > 0)
+        found = F.lit(False)
+        for (n, k), some in sorted(by_place.items()):
+            run = F.concat_ws(" ", *[F.get(w, i + j - k) for j in range(n)])
+            found = found | run.isin(sorted(some))
+        return x.isin(longest) & found
+    return let(F.split(F.lower(plain), SPACE_CLASS + "+"), lambda w: F.size(F.filter(w, lambda x, i: here(w, x, i))) > 0)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
