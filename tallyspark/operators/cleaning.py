@@ -8,8 +8,6 @@ yields exactly one cleaned row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -261,15 +259,6 @@ def write_clean_table(raw: DataFrame, path: str, *, case_insensitive: bool = Fal
         parsed.unpersist()
 
 
-@dataclass
-class CleaningCounters:
-    """Labelled counters of one cleaning run (all computed in one aggregate)."""
-    values: dict
-
-    def __getitem__(self, key):
-        return self.values[key]
-
-
 def transformation_counts(raw: DataFrame, cleaned_internal: DataFrame | None = None) -> DataFrame:
     """Long (rule, n) table of per-rule counters in a single pass over the data."""
     df = cleaned_internal if cleaned_internal is not None else clean(raw, keep_internal=True)

@@ -109,13 +109,6 @@ def category_summary(df: DataFrame) -> DataFrame:
                     safe_ratio(F.col("_s").cast("double"), F.col("valid")).alias("sales_per_transaction"))
 
 
-def channel_means(df: DataFrame) -> DataFrame:
-    """Mean recorded total per channel (E10), from exact sums."""
-    g = (df.where(F.col("total_spent").isNotNull() & F.col("location").isNotNull())
-           .groupBy("location").agg(money("total_spent").alias("_s"), F.count(F.lit(1)).alias("n")))
-    return g.select("location", "n", (F.col("_s").cast("double") / F.col("n")).alias("mean_total"))
-
-
 def channel_mean_difference(df: DataFrame, a: str = "Online", b: str = "In-store",
                             cluster: str = "customer_id") -> DataFrame:
     """Observed mean difference a - b and the number of clusters."""

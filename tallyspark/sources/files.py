@@ -12,7 +12,7 @@ from tallyspark.schema import CLEAN_COLUMNS, DISPLAY_NAMES, RAW_COLUMNS, SOURCE_
 def check_source_schema(columns: list[str]) -> None:
     """The raw header must be exactly the eleven source columns, in order."""
     if list(columns) != SOURCE_COLUMNS and list(columns) != RAW_COLUMNS:
-        raise ValueError(f"Unexpected source columns: {list(columns)}")
+        raise ValueError(f"the header does not hold the eleven raw columns in order, but {list(columns)}")
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +55,6 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*CLEAN_COLUMNS)
 
 
-def export_clean_csv(df: DataFrame, path: str) -> None:
-    """CSV export with the display-name header of the source contract."""
-    (df.select([F.col(c).alias(DISPLAY_NAMES[c]) for c in CLEAN_COLUMNS])
-       .write.mode("overwrite").option("header", True).csv(path))
-
-
-def write_json_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table: row count and two bag hashes.
 
