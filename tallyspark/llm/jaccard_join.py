@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text import WORD_CLASS, delete_folder, saved, shared_folder
+from tallyspark.llm.text import WORD_CLASS, arrow_batches, delete_folder, saved, shared_folder
 
 WIDTH = 5
 MIN_PER_CENT = 80
@@ -51,6 +51,7 @@ BASE_MATCHES, MAX_MATCHES = 2, 5
 COST_STEPS = (64, 512, 4096)  # estimated candidates beyond which one more match is asked for
 MAP_BITS = 26
 STAR_ROUNDS = 1
+BATCH_ROWS = 512  # texts, or pairs with both whole token sets, that a Python worker gets at a time
 
 _MIX1, _MIX2, _MUL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -340,6 +341,8 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not converge in {limit} rounds")
     return e.select(F.col("a").alias("set"), F.col("b").alias("class")).union(
         e.select(F.col("b").alias("set"), F.col("b").alias("class")).distinct())
 
@@ -393,12 +396,15 @@ def row_identity(doc_id: str, text: str):
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, row, n, class), one row per row of ``docs``: its identity, how many shingles it has, and its component."""
-    path = shared_folder(docs.sparkSession, "sets")
-    document_sets(docs, text, doc_id).write.parquet(path)
-    sets = docs.sparkSession.read.parquet(path)
-    classes = similar_classes(docs, sets, text, doc_id)
-    at = saved(sets.select("doc_id", "row", "n", "set").join(classes, "set", "left").select("doc_id", "row", "n", F.coalesce("class", "set").alias("class")))
-    delete_folder(docs.sparkSession, path)
+    spark = docs.sparkSession
+    path = shared_folder(spark, "sets")
+    # Everything runs here, so the setting holds for all of it.
+    with arrow_batches(spark, BATCH_ROWS):
+        document_sets(docs, text, doc_id).write.parquet(path)
+        sets = spark.read.parquet(path)
+        classes = similar_classes(docs, sets, text, doc_id)
+        at = saved(sets.select("doc_id", "row", "n", "set").join(classes, "set", "left").select("doc_id", "row", "n", F.coalesce("class", "set").alias("class")))
+    delete_folder(spark, path)
     return at
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Python workers get at most ``rows`` rows at a time in what runs inside (their memory is that of a batch or two)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tallyspark-llm/{name}-{uuid.uuid4().hex[:12]}"
