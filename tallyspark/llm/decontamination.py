@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.quality import let
-from tallyspark.llm.text import SPACE_CLASS, once, saved, words
+from tallyspark.llm.text import free_name, once, saved, words
 
 WIDTH = 8
 MIN_WORDS = 13
@@ -44,6 +44,9 @@ MAX_ANCHORS = 50_000  # beyond, texts are not tested for anchors first; the resu
 # The spaces of Unicode beyond ASCII.
 WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~\u00a0-\u00bf\u2010-\u2060\u3000-\u3020]"
+# The same as characters, less the spaces among them.
+PUNCTUATION_CHARS = "".join(c for low, high in ("!/", ":@", "[`", "{~", "\u00a0\u00bf", "\u2010\u2060", "\u3000\u3020")
+                            for c in map(chr, range(ord(low), ord(high) + 1)) if c not in WIDE_SPACES)
 NUMBER, NAME, UNIT, PUNCTUATION, LONE, END = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 # Unit words that become a placeholder.
 UNITS = ("mm", "cm", "m", "km", "millimeter", "millimeters", "millimetre", "millimetres", "centimeter", "centimeters", "centimetre", "centimetres", "meter", "meters",
@@ -154,26 +157,30 @@ def anchor_of(window: Column) -> Column:
     return F.coalesce(*[best(n) for n in range(ANCHOR_WORDS, 0, -1)])
 
 
+def bare_words(text: Column) -> Column:
+    """The words in lower case without punctuation, lone punctuation left out: one pass over the characters and one split at a single character."""
+    spaces = "\t\n\u000b\f\r" + WIDE_SPACES
+    t = F.translate(F.coalesce(text, F.lit("")), spaces + PUNCTUATION_CHARS, " " * len(spaces))
+    return F.array_remove(F.split(F.lower(t), " "), "")
+
+
 def holds_anchor(text: Column, anchors: list[str]) -> Column:
     """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through.
 
-    Words are first looked up among the anchors' longest words, which are rare; only there the neighbours are compared."""
-    plain = F.coalesce(text, F.lit(""))
-    plain = F.when(F.length(plain) == F.octet_length(plain), F.regexp_replace(plain, r"\p{Punct}++", "")).otherwise(
-        F.regexp_replace(spaced(plain), PUNCTUATION_CLASS + "++", ""))
+    Words are first looked up among the anchors' longest words, which are rare; only at these places the neighbours are compared."""
     by_place: dict[tuple[int, int], list[str]] = {}  # number of words and place of the longest one -> anchors
     for a in anchors:
         parts = a.split(" ")
         by_place.setdefault((len(parts), max(range(len(parts)), key=lambda k: len(parts[k]))), []).append(a)
     longest = sorted({a.split(" ")[k] for (_, k), some in by_place.items() for a in some})
 
-    def here(w: Column, x: Column, i: Column) -> Column:
+    def here(w: Column, i: Column) -> Column:
         found = F.lit(False)
         for (n, k), some in sorted(by_place.items()):
-            run = F.concat_ws(" ", *[F.get(w, i + j - k) for j in range(n)])
-            found = found | run.isin(sorted(some))
-        return x.isin(longest) & found
-    return let(F.split(F.lower(plain), SPACE_CLASS + "+"), lambda w: F.size(F.filter(w, lambda x, i: here(w, x, i))) > 0)
+            found = found | F.concat_ws(" ", *[F.get(w, i + j - k) for j in range(n)]).isin(sorted(some))
+        return found
+    places = lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(longest), i)))
+    return let(bare_words(text), lambda w: let(places(w), lambda p: F.exists(p, lambda i: here(w, i))))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
@@ -230,5 +237,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, text=text, doc_id=doc_id, **options).select(F.col("key").alias("__key")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__key"), "left_anti")
+    key = free_name(docs, "__key")
+    bad = contaminated(docs, benchmark, text=text, doc_id=doc_id, **options).select(F.col("key").alias(key)).distinct()
+    return docs.join(bad, F.xxhash64(F.col(doc_id), F.col(text)) == F.col(key), "left_anti")
