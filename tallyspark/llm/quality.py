@@ -11,8 +11,8 @@ are removed and the next rule grows on the rest. The list becomes one ordered
 ``CASE WHEN``; the first rule that fires rejects the document, the default keeps it.
 
 Candidate thresholds are cut points of the labelled rows' own values. The fit reads
-at most ``max_rows`` labelled rows, those with the smallest hash of doc_id (a bounded
-sample of the labels, the only sample here); statistics and verdicts cover all rows
+at most ``max_rows`` labels, those with the smallest hash of doc_id, and of the rows they
+meet as many at most (a bounded sample, the only one here); statistics and verdicts cover all rows
 and whole texts.
 
 Statistics run in the JVM (no Python on rows). Repeated word windows are found per
@@ -20,8 +20,8 @@ text: window hashes are sorted together with their positions, equal neighbours m
 their positions, and marked positions give the covered words.
 
 Defined cases. Null, empty or blank text: no words, all statistics 0, base_failed.
-Null or conflicting labels: a null label is left out; a document labelled twice counts
-twice. Labels without a document are left out. No label at all, or labels of one kind:
+Null or conflicting labels: a null label is left out; a document with two different labels
+counts twice, rows equal in doc_id, label and statistics once. Labels without a document are left out. No label at all, or labels of one kind:
 an empty list that keeps whatever the base rules keep. Very long texts are one array per
 row. Input columns named like an added one give way.
 """
@@ -202,8 +202,9 @@ def fit_list(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, text: str
     # The chosen labels have at most max_rows rows, which bounds the broadcast.
     covered = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(
         F.broadcast(chosen), F.col("__id") == F.col("__label_id"))
-    # Rows that the base rules reject teach the list nothing.
-    rows = add_statistics(covered, "__text").where(~base_failed()).select("__id", "__label", *FEATURES).collect()
+    # Rows that the base rules reject teach the list nothing. A label may meet many rows of one doc_id: equal ones count once, and the limit holds for what is left.
+    taught = add_statistics(covered, "__text").where(~base_failed()).select("__id", "__label", *FEATURES).distinct()
+    rows = taught.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id", "__label", *FEATURES).limit(max_rows).collect()
     rows = sorted(rows, key=lambda r: (str(r["__id"]), r["__label"], [r[f] for f in FEATURES]))
     x = {f: np.array([r[f] for r in rows], dtype=float) for f in FEATURES}
     return learn_list(x, np.array([r["__label"] == 0 for r in rows], dtype=bool))

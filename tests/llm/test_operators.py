@@ -399,3 +399,33 @@ def test_decontamination_anchors_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "MAX_ANCHORS", 0)
     assert got == sorted(map(tuple, decontamination.contaminated(d, b).drop("key").collect()))
     assert {i for i, _ in items} <= {r[0] for r in got} and {200 + i for i, t in items if len(t.split()) >= 5} <= {r[0] for r in got}
+
+
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    """One label that meets many rows of its doc_id brings at most ``max_rows`` rows to the driver."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(200)]
+    d = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])] * 50, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "learn_list", lambda x, reject: seen.append(len(reject)) or [])
+    quality.fit_list(d, spark.createDataFrame([(1, 0)], "doc_id long, quality int"), max_rows=10)
+    quality.fit_list(d, spark.createDataFrame([(1, 0)], "doc_id long, quality int"), max_rows=1000)
+    assert seen[0] == 10 and 10 < seen[1] <= 200
+
+
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    """Columns named like those that the operators add pass through all stages but the last; null ids and an empty table are fine."""
+    import corpus_pipeline
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    rows = [(i if i % 5 else None, text(), f"s{i % 2}", "mine", "7.5", i, "kept?", "e", "k", "r", "i") for i in range(30)]
+    names = ["doc_id long", "text string", "source string", "rule string", "n_words string", "size int", "kept string", "epochs string", "__key string", "__row string", "__id string"]
+    d = spark.createDataFrame(rows, ", ".join(names))
+    spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and (name == "mixing" or got == set(rows)), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
