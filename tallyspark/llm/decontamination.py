@@ -13,7 +13,8 @@ placeholders for numbers and units only. A document has an item if one
 consistent alignment covers ``min_words`` words of it (or all but the first word of a shorter item, or the whole of an item of fewer than five words).
 
 A window can only match where its literal words stand. Each benchmark window has an anchor, its longest run of up to three
-neighbouring literal words; texts that hold no anchor of any window, most of them, are not marked, formed or hashed.
+neighbouring literal words; texts that hold no anchor of any window, most of them, are not marked, formed or hashed, and of
+the others only the windows that hold the place of an anchor are hashed. Both leave out only what no benchmark window can equal.
 
 Everything is a column expression or a join. Documents send only (key, position,
 hash) to the join; the benchmark's windows are broadcast when they are counted to be
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.quality import let
-from tallyspark.llm.text import free_name, once, saved, words
+from tallyspark.llm.text import free_name, saved, words
 
 WIDTH = 8
 MIN_WORDS = 13
@@ -118,28 +119,29 @@ def window_hashes(w: Column, width: Column | int) -> Column:
         F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, width))))
 
 
-def fixed_hashes(w: Column, width: int) -> Column:
-    n = F.size(w) - width
-    return F.when(n < 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.array(*[F.get(w, i + k) for k in range(width)]))))
-
+def placed_hashes(w: Column, starts: Column, width: int) -> Column:
+    return F.transform(starts, lambda i: F.struct(
+        F.lit(width).alias("w"), i.alias("pos"), F.xxhash64(F.array(*[F.get(w, i + k) for k in range(width)])).alias("h")))
 
-def placed_hashes(w: Column, width: int) -> Column:
-    return F.transform(fixed_hashes(w, width), lambda h, i: F.struct(F.lit(width).alias("w"), i.alias("pos"), h.alias("h")))
 
-
-def changed_hashes(w: Column, other: Column, width: int) -> Column:
-    """The windows of ``w`` that differ from those of ``other``, which has as many words."""
-    n = F.size(w) - width
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: ~F.get(w, j).eqNullSafe(F.get(other, j)))
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(F.greatest(j - width + 1, F.lit(0)), F.least(j, n)))))
-    return F.when((n < 0) | (w == other), F.array().cast("array<struct<w:int,pos:int,h:bigint>>")).otherwise(F.transform(starts, lambda i: F.struct(
-        F.lit(width).alias("w"), i.alias("pos"), F.xxhash64(F.array(*[F.get(w, i + k) for k in range(width)])).alias("h"))))
+def window_starts(n_words: Column, width: int, places: Column | None) -> Column:
+    """Where the windows begin that hold one of ``places``; all windows if there are none given."""
+    last = n_words - width
+    if places is None:
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    else:
+        near = F.filter(places, lambda i: i - width < last + 1)  # the others are in no whole window
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last)))))
+    return F.when(last < 0, F.array().cast("array<int>")).otherwise(starts)
 
 
-def form_hashes(forms: Column, width: int) -> Column:
+def form_hashes(forms: Column, width: int, places: Column | None) -> Column:
     """The window hashes of the first form, and of each other one where it differs from the one before."""
-    return F.concat(placed_hashes(forms[FORMS[0]], width), *[changed_hashes(forms[k], forms[j], width) for j, k in zip(FORMS, FORMS[1:])])
+    def changed(k: str, j: str, starts: Column) -> Column:
+        some = F.filter(starts, lambda i: F.slice(forms[k], i + 1, width) != F.slice(forms[j], i + 1, width))
+        return placed_hashes(forms[k], F.when(forms[k] == forms[j], F.array().cast("array<int>")).otherwise(some), width)
+    return let(window_starts(F.size(forms[FORMS[0]]), width, places), lambda starts: F.concat(
+        placed_hashes(forms[FORMS[0]], starts, width), *[changed(k, j, starts) for j, k in zip(FORMS, FORMS[1:])]))
 
 
 def is_slot(w: Column) -> Column:
@@ -148,7 +150,7 @@ def is_slot(w: Column) -> Column:
 
 def anchor_of(window: Column) -> Column:
     """The longest run of up to three neighbouring literal words, as text; null if there is no literal word."""
-    literal = lambda x: ~x.rlike("[\u0001-\u0005]")
+    literal = lambda x: ~x.rlike("[\u0001-\u0006]")
 
     def best(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(window) - n + 1, F.lit(1))), lambda i: F.slice(window, i, n))
@@ -164,23 +166,34 @@ def bare_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(t), " "), "")
 
 
-def holds_anchor(text: Column, anchors: list[str]) -> Column:
-    """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through.
+class Anchors:
+    """Tests for anchors in an array of words.
 
     Words are first looked up among the anchors' longest words, which are rare; only at these places the neighbours are compared."""
-    by_place: dict[tuple[int, int], list[str]] = {}  # number of words and place of the longest one -> anchors
-    for a in anchors:
-        parts = a.split(" ")
-        by_place.setdefault((len(parts), max(range(len(parts)), key=lambda k: len(parts[k]))), []).append(a)
-    longest = sorted({a.split(" ")[k] for (_, k), some in by_place.items() for a in some})
 
-    def here(w: Column, i: Column) -> Column:
+    def __init__(self, anchors: list[str]):
+        self.by_place: dict[tuple[int, int], list[str]] = {}  # number of words and place of the longest one -> anchors
+        for a in anchors:
+            parts = a.split(" ")
+            self.by_place.setdefault((len(parts), max(range(len(parts)), key=lambda k: len(parts[k]))), []).append(a)
+        self.longest = sorted({a.split(" ")[k] for (_, k), some in self.by_place.items() for a in some})
+
+    def _here(self, w: Column, i: Column) -> Column:
         found = F.lit(False)
-        for (n, k), some in sorted(by_place.items()):
+        for (n, k), some in sorted(self.by_place.items()):
             found = found | F.concat_ws(" ", *[F.get(w, i + j - k) for j in range(n)]).isin(sorted(some))
         return found
-    places = lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(longest), i)))
-    return let(bare_words(text), lambda w: let(places(w), lambda p: F.exists(p, lambda i: here(w, i))))
+
+    def _candidates(self, w: Column) -> Column:
+        return F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(self.longest), i)))
+
+    def places(self, w: Column) -> Column:
+        """Where the longest word of an anchor stands among the others."""
+        return F.filter(self._candidates(w), lambda i: self._here(w, i))
+
+    def stand_in(self, text: Column) -> Column:
+        """Whether any anchor stands in the text's plain words; lone punctuation is passed over, which only lets more texts through."""
+        return let(bare_words(text), lambda w: F.exists(self._candidates(w), lambda i: self._here(w, i)))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
@@ -208,12 +221,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     anchors = [r["anchor"] for r in windows.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
     windows = windows.drop("anchor")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    if widths:
-        hashes = let(all_forms(F.col("text")), lambda x: F.flatten(F.array(*[form_hashes(x, k) for k in widths])))
-    else:
-        hashes = F.array().cast("array<struct<w:int,pos:int,h:bigint>>")
-    near = base if len(anchors) > MAX_ANCHORS or None in anchors or not anchors else base.where(holds_anchor(F.col("text"), anchors))
-    sent = near.select("key", once(hashes).alias("x")).select("key", F.explode("x").alias("x")).select("key", "x.*")
+    known = None if len(anchors) > MAX_ANCHORS or None in anchors or not anchors else Anchors(anchors)
+
+    def hashes_of(forms: Column) -> Column:
+        if not widths:
+            return F.array().cast("array<struct<w:int,pos:int,h:bigint>>")
+        if known is None:
+            return F.flatten(F.array(*[form_hashes(forms, k, None) for k in widths]))
+        # The literal words of every form are those of the plain one.
+        return let(known.places(forms["plain"]), lambda p: F.flatten(F.array(*[form_hashes(forms, k, p) for k in widths])))
+    hashes = let(all_forms(F.col("text")), hashes_of)
+    near = base if known is None else base.where(known.stand_in(F.col("text")))
+    # For an inner explode the optimizer adds tests of the array below it, each a copy of the whole expression; the join drops the rows of empty arrays.
+    sent = near.select("key", F.explode_outer(hashes).alias("x")).select("key", "x.*")
     small = windows.count() <= MAX_BROADCAST_WINDOWS
     hits = sent.join(F.broadcast(windows) if small else windows, ["w", "h"])
     aligned = saved(hits.groupBy("key", "item_id", "w", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at")))
