@@ -29,9 +29,9 @@ def words(c: Column) -> Column:
 
 
 def once(c: Column) -> Column:
-    """``c``, computed once per row: rand() is never below 0, but keeps the optimizer from copying a costly column into
-    each place that uses it (filters on a verdict, the null and size tests that it adds below an explode)."""
-    return F.when(F.rand(0) >= 0, c)
+    """``c``, computed once per row: the test always holds, but keeps the optimizer from copying a costly column into
+    each place that uses it (filters on a verdict). A plain rand() >= 0 would not: the optimizer knows that it is true."""
+    return F.when(F.rand(0) + 1 > 0, c)
 
 
 def count_words(c: Column) -> Column:
