@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.operators import cleaning as C
+from tallyspark.operators import ranks as RK
 from tallyspark.schema import RAW_COLUMNS
 
 
@@ -28,3 +29,13 @@ def test_strip_text_of_plain_and_of_odd_texts(spark):
     texts = [None, "", "a", "Item_1", "  a\t\n b ", "a  b", " x　", "café", "\u0001a", "\u001fa\u001c", "a b", "~!", " "]
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.strip_text(F.col("t")).alias("s")).collect()
     assert {r["i"]: r["s"] for r in found} == {i: t if t is None else " ".join(t.split()) for i, t in enumerate(texts)}
+
+
+def test_row_index_numbers_rows_without_a_window_over_them(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("d"), F.when(F.col("id") % 11 > 0, F.xxhash64("id")).alias("h"), "id").repartition(5)
+    out = RK.row_index(df, ["d", "h"])
+    assert "row_number" not in plan(out)
+    rows = sorted(out.collect(), key=lambda r: r["idx"])
+    assert [r["idx"] for r in rows] == list(range(5000)) and {r["id"] for r in rows} == set(range(5000))
+    key = [(r["d"], r["h"] is not None, r["h"] or 0) for r in rows]
+    assert key == sorted(key)
