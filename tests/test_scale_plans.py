@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.operators import cleaning as C
+from tallyspark.operators import model as MD
 from tallyspark.operators import ranks as RK
 from tallyspark.schema import RAW_COLUMNS
 
@@ -39,3 +40,17 @@ def test_row_index_numbers_rows_without_a_window_over_them(spark):
     assert [r["idx"] for r in rows] == list(range(5000)) and {r["id"] for r in rows} == set(range(5000))
     key = [(r["d"], r["h"] is not None, r["h"] or 0) for r in rows]
     assert key == sorted(key)
+
+
+def test_ridge_sums_of_an_item_are_not_shuffled(spark, monkeypatch):
+    written, seen = MD.written_once, {}
+    monkeypatch.setattr(MD, "written_once", lambda df, name: (seen.setdefault(name, df), written(df, name))[1])
+    train = spark.range(600).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 50)).alias("item"), F.when(F.col("id") % 5 > 0, F.lit("a")).alias("category"),
+        F.when(F.col("id") % 3 == 0, "Online").otherwise("In-store").alias("location"), F.lit("Monday").alias("weekday"), F.lit("Q1").alias("quarter"),
+        F.lit(2000).alias("year"), (F.col("id") % 3).cast("int").alias("month"), (F.col("id") % 13).cast("double").alias("y"))
+    model = MD.fit_ridges(train, [1.0])
+    text = seen["items"]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_COL" in text
+    n = {r["item"]: r["n"] for r in model.items.collect()}
+    assert n["hot"] == 300 and sum(n.values()) == 600 and len(n) == 26
