@@ -45,3 +45,10 @@ def test_item_map_is_made_from_distinct_rows(spark):
     out = C.item_map(df)
     assert plan(out).count("Aggregate") == 2
     assert [(r["category"], float(r["_pkey"]), r["_map_item"]) for r in out.collect()] == [("a", 1.0, "x")]
+
+
+def test_quantiles_without_groups_join_nothing(spark, monkeypatch):
+    df = spark.range(20_001).selectExpr("cast(id * id AS double) AS v")
+    monkeypatch.setattr(DataFrame, "join", lambda *a, **k: pytest.fail("rows are joined with intervals"))
+    got = {r["p"]: r["q"] for r in quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got == {0.0: 0.0, 0.25: 5000.0 ** 2, 0.5: 10_000.0 ** 2, 1.0: 20_000.0 ** 2}
