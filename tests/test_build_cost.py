@@ -52,3 +52,12 @@ def test_quantiles_without_groups_join_nothing(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "join", lambda *a, **k: pytest.fail("rows are joined with intervals"))
     got = {r["p"]: r["q"] for r in quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).collect()}
     assert got == {0.0: 0.0, 0.25: 5000.0 ** 2, 0.5: 10_000.0 ** 2, 1.0: 20_000.0 ** 2}
+
+
+def test_monthly_trend_parses_each_date_once(spark, monkeypatch):
+    rows = [(f"2024-{m:02d}-0{d}", float(m * d)) for m in range(1, 7) for d in (1, 2) for _ in range(20)] + [(None, 5.0), ("2024-02-01", None)]
+    df = spark.createDataFrame(rows, "transaction_date string, total_spent double")
+    seen, real = [], ST.complete_month_rows
+    monkeypatch.setattr(ST, "complete_month_rows", lambda d: seen.append(d.count()) or real(d))
+    r = ST.monthly_trend_spearman(df).first()
+    assert seen == [12] and (r["n_months"], r["statistic"]) == (5, 1.0)
