@@ -61,3 +61,10 @@ def test_monthly_trend_parses_each_date_once(spark, monkeypatch):
     monkeypatch.setattr(ST, "complete_month_rows", lambda d: seen.append(d.count()) or real(d))
     r = ST.monthly_trend_spearman(df).first()
     assert seen == [12] and (r["n_months"], r["statistic"]) == (5, 1.0)
+
+
+def test_difference_sums_hashes_without_decimals(spark):
+    a = spark.createDataFrame([(i % 5, None if i % 3 else "x") for i in range(50)], "k int, v string")
+    assert "decimal" not in plan(differing_ranges(a, a, ["k"]))
+    assert differing_ranges(a, a.repartition(3), ["k"]).count() == 0
+    assert differing_ranges(a, a.where("k <> 4").union(a.where("k = 4").selectExpr("k", "coalesce(v, 'y')")), ["k"]).count() == 1
