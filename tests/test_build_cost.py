@@ -68,3 +68,11 @@ def test_difference_sums_hashes_without_decimals(spark):
     assert "decimal" not in plan(differing_ranges(a, a, ["k"]))
     assert differing_ranges(a, a.repartition(3), ["k"]).count() == 0
     assert differing_ranges(a, a.where("k <> 4").union(a.where("k = 4").selectExpr("k", "coalesce(v, 'y')")), ["k"]).count() == 1
+
+
+def test_full_duplicates_shuffle_hashes_and_compare_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("a", None), ("a", None), (None, "a"), (None, "a"), (None, "a"), ("b", "c")], "x string, y string")
+    assert "left_semi" in plan(Q.full_duplicates(df)).lower().replace("leftsemi", "left_semi")
+    assert Q.full_duplicates(df).first()[0] == 3
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all hashes collide
+    assert Q.full_duplicates(df).first()[0] == 3
