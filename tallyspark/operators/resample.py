@@ -6,9 +6,9 @@ is made by binary splitting: the K draws fall on buckets of ``BUCKET`` clusters
 by halving the bucket range, where the left half gets a binomial share of the
 draws, until each bucket of each replicate knows its number of draws. That is a
 chain of row-local steps over R x K / ``BUCKET`` rows: no array of K draws, no
-shuffle of draws. Then each bucket makes its own draws against its own partial
-sums (an array of at most ``BUCKET`` entries), and only one row of sums per
-replicate and bucket is shuffled.
+shuffle of draws. Then the shares of a bucket meet its partial sums (at most
+``BUCKET`` rows) in one group, which makes its own draws and counts them per
+cluster, and only one row of sums per replicate and bucket is shuffled.
 
 All randomness is counter based: the bits are MD5 of (seed, replicate, bucket
 range, step), so the result does not depend on partitioning, task retries or the
@@ -20,6 +20,10 @@ the reference only statistically.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +31,8 @@ from tallyspark.operators.ranks import exact_quantiles, row_index
 from tallyspark.session import checkpoint_dir
 
 BUCKET = 512
-BROADCAST_CLUSTERS = 250_000  # partial sums of so many clusters (40 bytes each) are broadcast; more are joined by a shuffle
+BROADCAST_CLUSTERS = 250_000  # up to so many clusters there are few buckets, so each bucket's clusters are copied to SLICES groups
+SLICES = 16
 DIGITS = 48  # binary digits of p that are compared; a draw is undecided after them with probability 2^-48 and goes right
 MICRO = 1_000_000  # money is summed in millionths, exactly
 
@@ -71,6 +76,30 @@ def split_draws(spark: SparkSession, reps: int, clusters: int, seed: int, bucket
     return rows.where("n > 0").selectExpr("rep", "lo AS bucket", "n")
 
 
+def draw_clusters(seed: int):
+    """Function for a bucket's group: (rep, n) rows and the bucket's clusters -> the sums over the n draws of each replicate.
+
+    One MD5 digest of (seed, replicate, bucket, block) gives four draws of 30 bits each, from its first 120 bits."""
+    def draw(shares: pa.Table, clusters: pa.Table) -> pa.Table:
+        order = np.argsort(clusters["idx"].to_numpy())
+        sums = np.column_stack([clusters[k].to_numpy() for k in ("sa", "na", "sb", "nb")])[order]
+        reps, ns, bucket = shares["rep"].to_numpy(), shares["n"].to_numpy(), shares["bucket"][0].as_py() if len(shares) else 0
+        counts = np.zeros((len(reps), len(sums)), dtype=np.int64)
+        blocks = [b"%d" % k for k in range(-(-int(ns.max(initial=0)) // 4))]
+        for row, (rep, n) in enumerate(zip(reps.tolist(), ns.tolist())):
+            head = f"{seed}:{rep}:d:{bucket}:".encode()
+            bits = np.frombuffer(b"".join([hashlib.md5(head + k).digest() for k in blocks[:-(-n // 4)]]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            first, second = bits[:, 0] >> np.uint64(4), ((bits[:, 0] & np.uint64(15)) << np.uint64(56)) | (bits[:, 1] >> np.uint64(8))
+            low = np.uint64((1 << 30) - 1)
+            words = np.column_stack([first >> np.uint64(30), first & low, second >> np.uint64(30), second & low]).ravel()[:n]
+            counts[row] = np.bincount((words % np.uint64(len(sums))).astype(np.int64), minlength=len(sums))
+        if np.abs(counts.astype(float) @ sums.astype(float)).max(initial=0.0) >= 2.0 ** 63:
+            raise OverflowError("a bucket's sum of money does not fit in 64 bits")
+        drawn = counts @ sums
+        return pa.table({"rep": reps, **{k: drawn[:, j] for j, k in enumerate(("sa", "na", "sb", "nb"))}})
+    return draw
+
+
 def cluster_bootstrap_diff(df: DataFrame, cluster: str = "customer_id", group: str = "location",
                            value: str = "total_spent", a: str = "Online", b: str = "In-store",
                            reps: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -86,25 +115,17 @@ def cluster_bootstrap_diff(df: DataFrame, cluster: str = "customer_id", group: s
                                            (("sa", money(a)), ("na", F.count_if(F.col(group) == a)), ("sb", money(b)), ("nb", F.count_if(F.col(group) == b)))])
     indexed = row_index(partial, [cluster])
     clusters = indexed.count()
-    sums = F.struct("sa", "na", "sb", "nb")
-    buckets = (indexed.groupBy(F.floor(F.col("idx") / BUCKET).alias("bucket"))
-                      .agg(F.array_sort(F.collect_list(F.struct("idx", sums.alias("sums")))).alias("c")))
+    indexed = indexed.select(F.floor(F.col("idx") / BUCKET).alias("bucket"), "idx", "sa", "na", "sb", "nb")
     shares = split_draws(spark, reps, clusters, seed, BUCKET)
-    if clusters <= BROADCAST_CLUSTERS:
-        drawn = shares.join(F.broadcast(buckets), "bucket")
-    else:
-        # A fixed number of partitions: the rows are small, the work behind each is not, so they must not be merged by size.
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps * clusters // 50_000_000)
-        drawn = shares.repartition(parts, "bucket").join(buckets.repartition(parts, "bucket"), "bucket")
-
-    add = ", ".join(f"'{k}', total.{k} + hit.{k}" for k in ("sa", "na", "sb", "nb"))
-    words = ", ".join(w for at in (1, 16) for w in (f"shiftright({random_bits('digest', at)}, 30)", f"{random_bits('digest', at)} & 1073741823L"))
-    # Four draws of 30 bits each from one digest; the last block may need fewer.
-    drawing = f"""aggregate(sequence(0L, (n - 1) div 4), named_struct('sa', 0L, 'na', 0L, 'sb', 0L, 'nb', 0L), (sofar, block) -> aggregate(
-        slice(transform(array(md5(concat_ws(':', '{seed}', rep, 'd', bucket, block))), digest -> array({words}))[0], 1, cast(least(n - block * 4, 4L) AS int)),
-        sofar, (total, word) -> transform(array(get(c, cast(word % size(c) AS int)).sums), hit -> named_struct({add}))[0]))"""
-    totals = drawn.selectExpr("rep", f"{drawing} AS t")
-    per_rep = totals.groupBy("rep").agg(*[F.sum(F.col(f"t.{k}").cast("decimal(38,0)")).alias(k) for k in ("sa", "na", "sb", "nb")])
+    # A fixed number of partitions: the rows are small, the work behind each is not, so they must not be merged by size.
+    slices = SLICES if clusters <= BROADCAST_CLUSTERS else 1
+    shares = shares.withColumn("slice", F.col("rep") % slices)
+    copies = indexed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps * clusters // 50_000_000)
+    grouped = lambda df: df.repartition(parts, "bucket", "slice").groupBy("bucket", "slice")
+    totals = (grouped(shares).cogroup(grouped(copies))
+                    .applyInArrow(draw_clusters(seed), "rep long, sa long, na long, sb long, nb long"))
+    per_rep = totals.groupBy("rep").agg(*[F.sum(F.col(k).cast("decimal(38,0)")).alias(k) for k in ("sa", "na", "sb", "nb")])
     mean = lambda s, n: F.col(s).cast("double") / MICRO / F.col(n).cast("double")
     diffs = per_rep.where((F.col("na") > 0) & (F.col("nb") > 0)).select((mean("sa", "na") - mean("sb", "nb")).alias("diff"))
     checkpoint_dir(spark)
