@@ -76,3 +76,11 @@ def test_full_duplicates_shuffle_hashes_and_compare_rows(spark, monkeypatch):
     assert Q.full_duplicates(df).first()[0] == 3
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all hashes collide
     assert Q.full_duplicates(df).first()[0] == 3
+
+
+def test_audit_marks_strip_each_column_once(spark):
+    raw = spark.createDataFrame([(" a", "c", "nan", "i", "1", "1", "1", "Cash", "x  y", "2024-01-01", " YES ")], RAW_SCHEMA)
+    out = C.parse_raw(raw, marks=K.audit_marks())
+    assert plan(out).count("[^!-~]") == 11
+    r = out.first()
+    assert (r["_missing"], r["_spaced"], r["_spelling"]) == (1 << 2, (1 << 0) + (1 << 5), "YES")
