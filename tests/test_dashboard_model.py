@@ -129,3 +129,21 @@ def test_regression_metrics(spark):
     yy = np.array([1, 2, 3, 4.0])
     assert math.isclose(r["R2"], 1 - (e ** 2).sum() / ((yy - yy.mean()) ** 2).sum())
     assert r["MedianAE"] == 1.0
+
+
+def test_ridge_folds_share_their_cells(spark, monkeypatch):
+    """Cells are made and written once for all folds; each fold's scores are those of a fit on its own rows."""
+    rng = np.random.default_rng(2)
+    n = 900
+    rows = [(f"c{rng.integers(3)}" if i % 9 else None, f"i{rng.integers(40)}" if i % 7 else None, "L", f"d{rng.integers(7)}", f"Q{rng.integers(1, 5)}",
+             2019 + i // 300 if i % 50 else None, int(rng.integers(1, 13)), float(rng.normal() + (i % 3)), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "category string, item string, location string, weekday string, quarter string, year int, month int, y double, idx long")
+    names, once = [], M.written_once
+    monkeypatch.setattr(M, "written_once", lambda d, name: (names.append(name), once(d, name))[1])
+    alphas = [0.1, 10.0]
+    got = {r["alpha"]: r["fold_MAE"] for r in M.ridge_cv(df, alphas).collect()}
+    assert names.count("cells") == 1
+    for i, (end, v0, v1) in enumerate(M.fold_ranges(n)):
+        pred = M.fit_ridges(df.where(F.col("idx") < end), alphas).predictions(df.where(F.col("idx").between(v0, v1 - 1)))
+        for k, a in enumerate(alphas):
+            assert math.isclose(got[a][i], pred.agg(F.avg(F.abs(F.col("y") - F.col(f"prediction_{k}")))).first()[0], rel_tol=1e-9)
